@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.shared import chunked, read, strings
+from tamis.llm.shared import Runs, chunked, read, strings
 
 MARK = "▁"
 SLOTS = 21
@@ -100,6 +100,7 @@ class Vocabulary:
         self.follows: dict[int, bool] = {}
         self.slot_keys, self.slot_values = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, bool)
         self.sizes = np.array([len(p) for p in self.pieces])
+        self.runs = Runs()
 
     def single(self) -> np.ndarray:
         """Characters that are pieces."""
@@ -290,7 +291,7 @@ def chunks_of(text: str) -> list[str]:
 
 
 def encode_batch(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Flat piece ids of texts, and how many each has. Every distinct chunk is encoded once."""
+    """Flat piece ids of texts, and how many each has. A distinct chunk is encoded once, as long as v.runs holds it."""
     normal = [v.sp.normalize(t) if t else "" for t in texts]
     if v.crossing:
         cut = pa.array([[n] if n else [] for n in normal], pa.list_(pa.string()))
@@ -317,8 +318,7 @@ def encode_batch(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarra
         index = np.concatenate([index, np.array(more, np.int64)])
         by = np.argsort(owner, kind="stable")
         index, owner = index[by], owner[by]
-    ids, n = encode_chunks(v, chunks)
-    first = np.cumsum(n) - n
+    ids, first, n = v.runs.of(pa.array(chunks, pa.large_string()), lambda new: encode_chunks(v, new))
     per = n[index]
     at = np.repeat(first[index] - (np.cumsum(per) - per), per) + np.arange(per.sum())
     return ids[at], np.bincount(owner, per, len(texts)).astype(np.int64)
@@ -353,7 +353,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", model: str = MO
 
     def run(batches):
         v = vocabulary(sent.value)
-        for table in chunked(batches, 12 << 20):
+        for table in chunked(batches, 16 << 20):
             texts = strings(table["__text"]).to_pylist()
             ids, sizes = encode_batch(v, texts)
             ends = np.cumsum(sizes)

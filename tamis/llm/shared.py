@@ -115,3 +115,30 @@ def chunked(batches, most_bytes: int):
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+class Runs:
+    """Runs of token ids of words that were encoded before; starts anew once it holds `most` words."""
+
+    def __init__(self, most: int = 1_500_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, words: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, begin, size): where the run of each of the distinct words is. encode(list) gives flat ids and sizes."""
+        words = words.cast(pa.large_string())
+        if len(self.words) + len(words) > self.most:
+            self.clear()
+        new = words.filter(pc.is_null(pc.index_in(words, value_set=self.words))) if len(self.words) else words
+        if len(new):
+            ids, sizes = encode(new.to_pylist())
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+            self.words = pa.concat_arrays([self.words, new])
+        at = pc.index_in(words, value_set=self.words).to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        return self.flat, self.first[at], self.size[at]

@@ -27,14 +27,15 @@ import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tamis.llm.shared import chunked, new_folder, partitions, read, staged, strings
+from tamis.llm.shared import Runs, chunked, new_folder, partitions, read, staged, strings
 
 MAGIC, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = b"TAMSST01", 1 << 16, 10, 7
-SPACED = r" [\s\pZ\x{85}]|[\s\pZ\x{85}] |^ | $|[^\x00-\x7F]\s|\s[^\x00-\x7F]|[\x1c-\x1f]"
+#: Texts where white space meets a space, or one stands at an end: these are encoded whole.
+SPACED = r" [\s\pZ\x{85}\x0b]|[\s\pZ\x{85}\x0b] |^ | $"
 
 
 def vocabulary_path() -> str:
@@ -51,13 +52,13 @@ def tokenizer(model: str):
     t.encode_special_tokens = True
     n = t.get_vocab_size()
     spaced = np.array([(t.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
-    return t, spaced
+    return t, spaced, Runs()
 
 
 def encode_texts(model: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of texts (large strings) and how many each has."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    t, spaced = tokenizer(model)
+    t, spaced, known = tokenizer(model)
     odd = pc.or_(pc.match_substring_regex(texts, SPACED), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
     lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -66,22 +67,25 @@ def encode_texts(model: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first = np.zeros(len(flat), bool)
     first[(np.cumsum(counts) - counts)[counts > 0]] = True
     coded = flat.filter(pa.array(~first)).dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    ids = [np.array(e.ids, np.int64) for e in t.encode_batch_fast([" " + " ".join(words[k : k + 4096]) for k in range(0, len(words), 4096)], add_special_tokens=False)]
-    ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(np.flatnonzero(spaced[ids]), len(ids)))
-    if len(sizes) != len(words):
-        raise ValueError("words and encoded words differ in number")
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        many = [" " + " ".join(words[k : k + 4096]) for k in range(0, len(words), 4096)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in t.encode_batch_fast(many, add_special_tokens=False)])
+        sizes = np.diff(np.append(np.flatnonzero(spaced[ids]), len(ids)))
+        if len(sizes) != len(words):
+            raise ValueError("words and encoded words differ in number")
+        return ids, sizes
+
+    ids, word_first, sizes = known.of(coded.dictionary, encode)
     starts = flat.filter(pa.array(first)).to_pylist()
-    whole = [x for x, o in zip(texts.filter(pa.array(odd)).to_pylist(), [0] * len(texts))]
+    whole = texts.filter(pa.array(odd)).to_pylist()
     lone = t.encode_batch_fast([*whole, *[s for s, o in zip(starts, odd) if not o]], add_special_tokens=False)
-    lone = [np.array(e.ids, np.int64) for e in lone]
+    lone = [np.array(e.ids, np.int32) for e in lone]
     odd_at, even_at = np.flatnonzero(odd), np.flatnonzero(~odd)
     # One run of ids for every lone piece and every later word, then all runs in the order of texts.
     runs = np.concatenate([ids, *lone]) if lone else ids
     lone_sizes = np.array([len(x) for x in lone], np.int64)
     lone_first = len(ids) + np.cumsum(lone_sizes) - lone_sizes
-    word_first = np.cumsum(sizes) - sizes
     index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     owner = np.concatenate([odd_at, even_at, np.repeat(np.arange(len(texts)), np.where(odd, 0, np.maximum(counts - 1, 0)))])
     keep = np.repeat(~odd, np.maximum(counts - 1, 0))
@@ -258,12 +262,12 @@ def write_tokens(docs: DataFrame, folder: str, model: str | None = None, end_id:
 
     def run(batches):
         model, writer, task = sent.value, None, TaskContext.get()
-        t, _ = tokenizer(model)
+        t, *_ = tokenizer(model)
         shard = task.partitionId()
         system, top = place(folder)
         final = f"{top}/shard-{shard:06d}.sst"
         temporary = f"{final}.{task.taskAttemptId()}.tmp"
-        for table in chunked(batches, 12 << 20):
+        for table in chunked(batches, 20 << 20):
             if writer is None:
                 writer = Writer(system.open_output_stream(temporary), 2 if t.get_vocab_size() <= 1 << 16 else 4)
             ids, sizes = encode_texts(model, strings(table["text"]))
@@ -281,8 +285,6 @@ def write_tokens(docs: DataFrame, folder: str, model: str | None = None, end_id:
 
 def read_tokens(shards: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids of every entry of the shards, in their order."""
-    from pyspark.sql import Window
-
     # One row a shard: as many as tasks wrote.
     starts = shards.withColumn("before", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
