@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's distinct chunks (a run of space marks and what follows it, which no piece crosses) are concatenated and
-indexed by a suffix array, sorted as deep as the longest piece. Every piece of the vocabulary finds its occurrences as
+A batch's distinct chunks (a run of space marks and what follows it, which no piece crosses) are concatenated, in
+slices of bounded size, and indexed by a suffix array, sorted as deep as the longest piece. Every piece of the vocabulary finds its occurrences as
 one range of the array by binary search; the ranges' members, sorted by position, are the edges of a lattice. A pass
 over end positions then relaxes the edges: for a unigram model by the best score, for a BPE model by the one edge whose
 piece may follow the piece before it (a greedy merge of the two would give back exactly these two). Characters that no
@@ -30,6 +30,8 @@ from tamis.llm.shared import Runs, chunked, read, strings
 
 MARK = "▁"
 SLOTS = 21
+#: Characters that one suffix array covers: it bounds memory, whatever the batch.
+SLICE = 250_000
 MODEL = os.environ.get("TAMIS_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 
 
@@ -88,7 +90,7 @@ class Vocabulary:
         self.crossing = any(MARK in self.pieces[i].lstrip(MARK) for i in plain)
         self.alphabet = np.array(sorted({ord(c) for i in plain for c in self.pieces[i]}), np.int64)
         # Pieces in the order of their codes, each padded: searched all at once.
-        self.order = np.array(sorted(plain, key=lambda i: self.pieces[i]))
+        self.order = np.array(sorted(plain, key=lambda i: self.pieces[i]), np.int32)
         self.lengths = np.array([len(self.pieces[i]) for i in self.order])
         codes = np.zeros((len(plain), self.deep), np.int64)
         for k, i in enumerate(self.order):
@@ -99,7 +101,7 @@ class Vocabulary:
             raise ValueError("models with user-defined pieces are not supported")
         self.follows: dict[int, bool] = {}
         self.slot_keys, self.slot_values = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, bool)
-        self.sizes = np.array([len(p) for p in self.pieces])
+        self.sizes = np.array([len(p) for p in self.pieces], np.int32)
         self.runs = Runs()
 
     def single(self) -> np.ndarray:
@@ -130,7 +132,7 @@ class Vocabulary:
 
     def all_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """may_follow() for arrays, by way of a direct-mapped table of earlier answers with a dictionary behind it."""
-        keys = (np.maximum(left, -1) + 1) << 32 | right
+        keys = (np.maximum(left, -1) + 1) << 32 | right.astype(np.int64)
         at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
         out = self.slot_values[at]
         missed = np.flatnonzero(self.slot_keys[at] != keys)
@@ -189,7 +191,7 @@ def edges(v: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = np.maximum(high - low, 0)
     which = np.repeat(np.arange(len(counts)), counts)
     starts = order[np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())]
-    return starts, v.order[which]
+    return starts.astype(np.int32), v.order[which]
 
 
 def _search(padded, order, low, high, d, want, after: bool) -> np.ndarray:
@@ -211,7 +213,7 @@ def relax(v: Vocabulary, points: np.ndarray, starts: np.ndarray, pieces: np.ndar
     sizes = ends - begins
     chunk = np.repeat(np.arange(len(begins)), sizes + 1)
     edge_ends = starts + v.sizes[pieces]
-    away = edge_ends - begins[chunk[starts]]
+    away = (edge_ends - begins[chunk[starts]]).astype(np.int32)
     deepest = int(sizes.max()) if len(sizes) else 0
     by = np.argsort(away.astype(np.int16) if deepest < 32_000 else away, kind="stable")  # 16 bits: a radix sort
     starts, pieces, edge_ends = starts[by], pieces[by], edge_ends[by]
@@ -267,9 +269,19 @@ def relax(v: Vocabulary, points: np.ndarray, starts: np.ndarray, pieces: np.ndar
 
 
 def encode_chunks(v: Vocabulary, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Flat piece ids of normalised chunks and their numbers, through one suffix array over all of them."""
+    """Flat piece ids of normalised chunks and their numbers, through a suffix array over SLICE characters at a time."""
     if not chunks:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+    if ends[-1] > SLICE and len(chunks) > 1:
+        # A chunk stays whole, however long.
+        cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(chunks)]
+        parts = [_encode_slice(v, chunks[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([sizes for _, sizes in parts])
+    return _encode_slice(v, chunks)
+
+
+def _encode_slice(v: Vocabulary, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(("\0".join(chunks) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1) - 1
     codes = v.code(points)
@@ -353,13 +365,14 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", model: str = MO
 
     def run(batches):
         v = vocabulary(sent.value)
-        for table in chunked(batches, 16 << 20):
+        for table in chunked(batches, 4 << 20):
             texts = strings(table["__text"]).to_pylist()
             ids, sizes = encode_batch(v, texts)
             ends = np.cumsum(sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
             equal = [decode(v, ids[e - n : e].tolist()) == t for e, n, t in zip(ends.tolist(), sizes.tolist(), texts)]
             yield from pa.table({c: table[c] for c in keep} | {"ids": lists, "n_pieces": sizes, "decoded_equal": equal}).to_batches(max_chunksize=512)
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 

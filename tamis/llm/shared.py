@@ -120,7 +120,7 @@ def chunked(batches, most_bytes: int):
 class Runs:
     """Runs of token ids of words that were encoded before; starts anew once it holds `most` words."""
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 700_000):
         self.most = most
         self.clear()
 
