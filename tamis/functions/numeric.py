@@ -47,7 +47,7 @@ def range_columns(x: Column, kind: T.DataType) -> tuple[Column, Column] | None:
         return whole, whole
     if isinstance(kind, FRACTIONS):
         d = x.cast("double")
-        ends = [F.when(~F.isnan(d), F.when(d >= F.lit(2.0**63), F.lit(MOST)).when(d <= F.lit(-(2.0**63)), F.lit(LEAST)).otherwise(f(d).cast("long"))) for f in (_floor, _ceiling)]
+        ends = [F.when(d.isNotNull() & ~F.isnan(d), F.when(d >= F.lit(2.0**63), F.lit(MOST)).when(d <= F.lit(-(2.0**63)), F.lit(LEAST)).otherwise(f(d).cast("long"))) for f in (_floor, _ceiling)]
         return ends[0], ends[1]
     if isinstance(kind, T.DecimalType):
         ends = [F.when(f(x) > F.lit(MOST), F.lit(MOST)).when(f(x) < F.lit(LEAST), F.lit(LEAST)).otherwise(f(x).try_cast("long")) for f in (F.floor, F.ceil)]
@@ -71,7 +71,7 @@ def rounded_column(x: Column, kind: T.DataType) -> Column | None:
         half_away = F.when(small >= 0, F.floor(small)).otherwise(F.ceil(small))
         step = F.when(F.abs(small - half_away) >= 0.5, F.signum(small)).otherwise(F.lit(0.0)).cast("long")
         low, _ = range_columns(x, kind)
-        return F.when(F.isnan(d), F.lit(None).cast("long")).when(F.abs(d) < F.lit(2.0**52), half_away.cast("long") + step).otherwise(low)
+        return F.when(d.isNull() | F.isnan(d), F.lit(None).cast("long")).when(F.abs(d) < F.lit(2.0**52), half_away.cast("long") + step).otherwise(low)
     ends = range_columns(x, kind)
     if ends is None or isinstance(kind, WHOLE):
         return ends and ends[0]

@@ -284,8 +284,7 @@ class TypedRows:
             return WalkedRows(F.array(), leaf_array(kind, x, F.lit(path))).has_leaf(where, test)
         if not path or not where.fits(path):
             return False
-        verdict = test(x, kind)
-        return F.coalesce(verdict, F.lit(False)) if isinstance(verdict, Column) else verdict
+        return test(x, kind)  # null for a null, so that a plain comparison can be pushed into the scan
 
     def paths(self) -> Column:
         """All paths of a row, for storing."""

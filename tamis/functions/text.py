@@ -41,15 +41,20 @@ def whitespace_lower_text(text: str) -> list[str]:
 def number_text(x: Column) -> Column:
     """A float or double as JSON writes it: the shortest digits, no trailing zeros, an exponent below 1e-6 or from 1e21.
 
-    NaN and infinities have no text (null). x's digits are those of Spark's cast to string.
+    NaN and infinities have no text (null).
     """
     d, digits = x.cast("double"), x.cast("string")
+    # The JVM may write a digit more than it takes to tell a double from all others.
+    shorter = F.format_string("%.15e", d)
+    long = F.length(F.regexp_replace(digits, "E.*|[-.]", "")) >= 17
+    digits = F.when(long & (shorter.try_cast("double") == d), shorter).otherwise(digits)
     size = F.abs(d)
-    plain = F.when(size >= 1e7, digits.try_cast("decimal(38,10)").cast("string")).when((size < 1e-3) & (size > 0), digits.try_cast("decimal(38,30)").cast("string")).otherwise(digits)
+    scale = F.when(size >= 1e7, digits.try_cast("decimal(38,10)").cast("string")).when((size < 1e-3) & (size > 0), digits.try_cast("decimal(38,30)").cast("string"))
+    plain = scale.otherwise(F.when(F.contains(digits, F.lit("e")), digits.try_cast("decimal(38,20)").cast("string")).otherwise(digits))
     plain = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, "\\.?0+$", "")).otherwise(plain)
-    power = F.regexp_replace(F.regexp_replace(digits, "\\.0E", "E"), "E(?=\\d)", "E+")
+    power = F.regexp_replace(F.regexp_replace(F.lower(digits), "\\.?0*e\\+?(-?)0*", "e$1"), "e(?=\\d)", "e+")
     sparse = (size >= 1e21) | ((size < 1e-6) & (size > 0))
-    return F.when(F.isnan(d) | (size == float("inf")), F.lit(None).cast("string")).when(sparse, F.lower(power)).otherwise(plain)
+    return F.when(F.isnan(d) | (size == float("inf")), F.lit(None).cast("string")).when(sparse, power).otherwise(plain)
 
 
 def timestamp_text(x: Column, zoned: bool) -> Column:
@@ -75,10 +80,10 @@ def leaf_text(x: Column, kind: T.DataType) -> Column:
 
 
 def has_token(text: Column, token: str, tokenizer: Tokenizer | None = None) -> Column | bool:
-    """Whether the text yields exactly this token. Tokens that the default tokenizer can't make are never there."""
+    """Whether the text yields exactly this token; null for a null text. Tokens that the default tokenizer can't make are never there."""
     if tokenizer is not None:
-        return F.coalesce(F.array_contains(tokenizer(text), token), F.lit(False))
+        return F.array_contains(tokenizer(text), token)
     if whitespace_lower_text(token) != [token]:
         return False
     # The cheap search comes first; words are only split where it hits.
-    return F.coalesce(F.contains(simple_lower(text), F.lit(token)) & F.array_contains(whitespace_lower(text), token), F.lit(False))
+    return F.contains(simple_lower(text), F.lit(token)) & F.array_contains(whitespace_lower(text), token)

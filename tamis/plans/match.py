@@ -66,5 +66,5 @@ def regex_verdict(node: Node | None, rows: TypedRows | WalkedRows) -> Verdict:
 
 
 def row_filter(query: Query, rows: TypedRows | WalkedRows, tokenizer: Tokenizer | None = None) -> Column:
-    """Keywords first: the regex tree only sees rows that pass them."""
+    """Keywords first: the regex tree only sees rows that pass them. Null, as false, means that the row isn't accepted."""
     return as_column(all_verdicts([keyword_verdict(query.keywords, rows, tokenizer), regex_verdict(query.regex, rows)]))
