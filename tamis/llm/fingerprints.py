@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_hexdigest
 
-from tamis.llm.shared import partitions, read
+from tamis.llm.shared import kept, partitions, read
 
 
 def canonical(text: str) -> str:
@@ -37,6 +37,7 @@ def fingerprint(text: str) -> str:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns in keep, fingerprint, and the canonical text."""
+    keep = kept(keep, ("fingerprint", "canonical"))
     docs = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("fingerprint", T.StringType()), T.StructField("canonical", T.StringType())])
 

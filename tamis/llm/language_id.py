@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.shared import byte_table, chunked, crc_mod, partitions, read, split_words, strings, sums_by_text, translated
+from tamis.llm.shared import byte_table, chunked, crc_mod, kept, read, split_words, strings, sums_by_text, translated
 
 #: Most labelled rows that the n-gram models are fitted on: the rows with the smallest hashes.
 FIT_ROWS = 20_000
@@ -148,13 +148,18 @@ def mixtures(logp: np.ndarray, counts: np.ndarray, rounds: int = 10) -> np.ndarr
     return shares
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None) -> DataFrame:
+MADE = ("lang_pred", "score", "languages", "shares", "n_words")
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Adds lang_pred, score (the share of lang_pred), languages and shares (all of the set, largest first), n_words.
 
-    docs needs a text column; the columns in keep go along.
+    docs needs a text column; the columns in keep go along, but for any named like one of these. prefix: stands before
+    the names of all five.
     """
     spark, (langs, logs) = docs.sparkSession, model
-    keep = keep if keep is not None else docs.columns
+    made = [prefix + c for c in MADE]
+    keep = kept(keep if keep is not None else docs.columns, tuple(made))
     sent = spark.sparkContext.broadcast((langs, logs))  # half a megabyte a language
     docs = docs.select(*keep, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("__letter"))
     fields = docs.select(*keep).schema
@@ -177,11 +182,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
             pred = [langs[o[0]] if f else "und" for o, f in zip(order, found)]
             names = [[langs[i] for i, s in zip(o, r) if s > 0] if f else [] for o, r, f in zip(order, ranked, found)]
             parts = [[min(1.0, float(s)) for s in r if s > 0] if f else [] for r, f in zip(ranked, found)]
-            out = {c: table[c] for c in keep} | {"lang_pred": pred, "score": np.where(found, np.clip(ranked[:, 0], 0, 1), 0.0), "languages": pa.array(names, pa.list_(pa.string())), "shares": pa.array(parts, pa.list_(pa.float64())), "n_words": counts}
+            out = {c: table[c] for c in keep} | dict(zip(made, (pa.array(pred, pa.string()), np.where(found, np.clip(ranked[:, 0], 0, 1), 0.0), pa.array(names, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64())), counts)))
             yield from pa.table(out).to_batches()
 
-    out = docs.mapInArrow(run, _with(fields, "lang_pred string, score double, languages array<string>, shares array<double>, n_words long"))
-    return out
+    return docs.mapInArrow(run, _with(fields, ", ".join(f"{c} {kind}" for c, kind in zip(made, ("string", "double", "array<string>", "array<double>", "long")))))
 
 
 def _with(fields, more: str):

@@ -13,8 +13,6 @@ first. Repeated rows give repeated results, an empty table none. Texts without a
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.shared import byte_table, chunked, read, split_words, strings, translated
+from tamis.llm.shared import byte_table, chunked, kept, read, split_words, strings, translated
 
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z in lower case: digits, letters and all bytes of longer code points.
 WORDS = byte_table(lambda c: 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128)
@@ -127,6 +125,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns in keep and n_words, n_base, first_word, last_word, base_labels, labels, score, matches."""
     df, n = document_frequencies(docs, text)
     idf = np.log((n + 1) / (df + 1))
+    keep = kept(keep, ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"))
     docs = docs.select(*keep, F.col(text).alias("__text"))
     fields = docs.select(*keep).schema.fields
     match = pa.struct([("label", pa.string()), ("start", pa.int64()), ("coverage", pa.float64())])

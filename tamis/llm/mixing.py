@@ -140,11 +140,11 @@ def mixed_documents(docs: DataFrame, **targets) -> DataFrame:
     placed = staged(placed, "placed")
     # A document's own segments: bounded by its length.
     parts = segments(placed, uses).groupBy("rank", "chunk", "at").agg(F.sort_array(F.collect_list(F.struct("first", "words", "uses"))).alias("__parts"))
-    parts = placed.join(parts, ["rank", "chunk", "at"]).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("__h").alias("__k"), F.col("__dup").alias("__n"), "size", "__parts")
+    parts = placed.join(parts, ["rank", "chunk", "at"]).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("__h").alias("__k"), F.col("__dup").alias("__n"), F.col("size").alias("__size"), "__parts")
     on = keyed["doc_id"].eqNullSafe(parts["__id"]) & keyed["source"].eqNullSafe(parts["__source"]) & (keyed["__h"] == parts["__k"]) & (keyed["__dup"] == parts["__n"])
     out = keyed.join(parts, on).withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1))))
     out = out.withColumn("__parts", F.filter("__parts", lambda p: p["uses"] > F.col("__copy"))).where(F.size("__parts") > 0)
-    whole = F.aggregate("__parts", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")
+    whole = F.aggregate("__parts", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("__size")
     words = F.regexp_extract_all("text", F.lit(WORD + "[\\x20\\x09-\\x0D]*"), F.lit(0))
     cut = F.aggregate(
         F.transform("__parts", lambda p: F.array_join(F.slice(F.col("__words"), (p["first"] + 1).cast("int"), p["words"].cast("int")), "")),

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.shared import Runs, chunked, read, strings
+from tamis.llm.shared import Runs, chunked, kept, read, strings
 
 MARK = "▁"
 SLOTS = 21
@@ -359,6 +359,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", model: str = MO
     spark = docs.sparkSession
     with open(model, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())  # half a megabyte
+    keep = kept(keep, ("ids", "n_pieces", "decoded_equal"))
     docs = docs.select(*keep, F.col(text).alias("__text"))
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("decoded_equal", T.BooleanType())]
     schema = T.StructType([*docs.select(*keep).schema.fields, *more])

@@ -53,6 +53,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(keep: list[str], made: tuple[str, ...]) -> list[str]:
+    """The columns to hand on: one that is named like a column that the operator makes gives way to it."""
+    return [c for c in keep if c not in made]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
 from tamis.llm.components import components
-from tamis.llm.shared import LOWER, chunked, partitions, read, staged, strings
+from tamis.llm.shared import LOWER, chunked, kept, partitions, read, staged, strings
 
 #: Fingerprints of one pattern that one task compares at most.
 CELL = 16_384
@@ -215,7 +215,7 @@ def _pairs(out) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, shingle: int = 4, bits: int = 4) -> DataFrame:
     """One row a document: the columns in keep, fp, fingerprint (hex) and component_id, the least id of its component."""
-    keep = keep if keep is not None else [doc_id]
+    keep = kept(keep if keep is not None else [doc_id], ("fp", "fingerprint", "component_id", "__fp"))
     prints = staged(fingerprints(docs, keep, text, shingle), "fingerprints")
     distinct = staged(prints.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct")
     found = components(link_fingerprints(distinct), "a", "b")

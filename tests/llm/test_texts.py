@@ -216,3 +216,14 @@ def test_document_frequencies(spark, odd_docs):
     df, n = licenses.document_frequencies(odd_docs)
     want = [sum(w in set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (r.text or "").lower())) for r in odd_docs.select("text").collect()) for w in ("license", "apache")]
     assert n == odd_docs.count() and [int(df[index.number[w]]) for w in ("license", "apache")] == want
+
+
+def test_clashing_columns_give_way(spark, odd_docs):
+    from tamis.llm import language_id, simhash
+
+    named = odd_docs.select("doc_id", "text", *[F.lit("x").alias(c) for c in ("ids", "n_pieces", "labels", "score", "matches", "canonical", "fingerprint", "component_id", "fp", "lang_pred", "shares")])
+    keep = [c for c in named.columns if c != "text"]
+    n = odd_docs.count()
+    model = language_id.fit(odd_docs)
+    for df in (sp.encode(named, keep), licenses.scan(named, keep), fps.fingerprints(named, keep), simhash.near_duplicates(named, keep=keep), language_id.identify(named, model, keep), language_id.identify(named, model, keep, prefix="__")):
+        assert len(set(df.columns)) == len(df.columns) and df.count() == n and df.where("doc_id = 3").count() == 1
