@@ -6,11 +6,15 @@ both at once. A query drops files and then blocks by metadata, in Spark, and ret
 
 from __future__ import annotations
 
+import base64
 import json
 import logging
+import threading
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from datetime import UTC, date, datetime
+from decimal import Decimal
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +51,8 @@ class Config:
     """Limits are soft: blocks are cut by rows, at the number that max_block_bytes allows for rows of average size.
 
     partition: gives the partition column of an ingested DataFrame. minmax: top-level fields whose ranges blocks keep.
-    The buffer limits hold for ingest_rows(). compression: none, snappy or zstd.
+    The buffer limits hold for ingest_rows(). compression: none, snappy or zstd. cache_metadata: keeps the metadata of
+    the current state in Spark's cache, for many queries over one state.
     """
 
     tokenizer: Tokenizer | None = None
@@ -64,6 +69,7 @@ class Config:
     compression: str = "snappy"
     zstd_level: int = 3
     null_fields: str = "keep"
+    cache_metadata: bool = False
 
     def __post_init__(self) -> None:
         for name in ("max_block_bytes", "max_block_rows", "max_file_bytes", "max_buffered_rows", "max_buffered_bytes", "max_buffered_seconds"):
@@ -92,14 +98,32 @@ class QueryStats:
     rows_matched: int | None = None
 
 
+def json_value(x):
+    """What json.dumps() doesn't know: times as RFC 3339 in UTC, bytes as base64, decimals and sets as numbers and lists."""
+    if isinstance(x, datetime):
+        moment = x.astimezone(UTC) if x.tzinfo else x
+        return moment.strftime("%Y-%m-%dT%H:%M:%S") + (f".{moment.microsecond:06d}".rstrip("0") if moment.microsecond else "") + "Z"
+    if isinstance(x, date):
+        return x.isoformat()
+    if isinstance(x, bytes | bytearray):
+        return base64.b64encode(x).decode()
+    if isinstance(x, Decimal) and x.is_finite():
+        return int(x) if x == x.to_integral_value() else float(x)
+    if isinstance(x, set | frozenset | tuple):
+        return list(x)
+    raise TypeError(f"{type(x).__name__} can't be JSON")
+
+
 class Engine:
     #: Rows that the average row size is taken from, and blocks that a query lists on the driver at most.
     SIZED_ROWS, LISTED_BLOCKS = 1_000, 10_000
 
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
-        self.spark, self.config, self.store = spark, config or Config(), Store(spark, root)
+        self.spark, self.config = spark, config or Config()
+        self.store = Store(spark, root, self.config.cache_metadata)
         self._buffer: list[tuple[str, Callable | None]] = []
         self._buffered_bytes, self._since, self._stopped = 0, 0.0, False
+        self._lock, self._timer, self._merging = threading.RLock(), None, threading.Lock()
 
     # ---- ingest ----
 
@@ -168,33 +192,50 @@ class Engine:
         """
         self._running()
         try:
-            texts = [json.dumps(r, allow_nan=False, ensure_ascii=False) for r in rows]
+            texts = [json.dumps(r, allow_nan=False, ensure_ascii=False, default=json_value) for r in rows]
         except (TypeError, ValueError) as e:
             raise BatchRejected(str(e)) from None
-        if not self._buffer:
-            self._since = time.monotonic()
-        self._buffer += [(t, None) for t in texts[:-1]] + [(texts[-1], done)] if texts else []
-        self._buffered_bytes += sum(len(t.encode()) + 4 for t in texts)
-        if not texts and done is not None:
-            done(None)
-        self.tick()
+        if not texts:
+            if done is not None:
+                done(None)
+            return
+        with self._lock:
+            if not self._buffer:
+                self._since = time.monotonic()
+                self._timer = threading.Timer(self.config.max_buffered_seconds, self._aged)
+                self._timer.daemon = True
+                self._timer.start()
+            self._buffer += [*((t, None) for t in texts[:-1]), (texts[-1], done)]
+            self._buffered_bytes += sum(len(t.encode()) + 4 for t in texts)
+            self.tick()
+
+    def _aged(self) -> None:
+        try:
+            self.tick()
+        except Exception:
+            log.exception("the buffer couldn't be stored")  # its callbacks know
 
     def tick(self) -> None:
         """Stores the buffer if it is due."""
-        config, n = self.config, len(self._buffer)
-        if n and (n >= min(config.max_buffered_rows, config.max_block_rows) or self._buffered_bytes >= min(config.max_buffered_bytes, config.max_block_bytes) or time.monotonic() - self._since >= config.max_buffered_seconds):
-            self.flush()
+        with self._lock:
+            config, n = self.config, len(self._buffer)
+            due = n and (n >= min(config.max_buffered_rows, config.max_block_rows) or self._buffered_bytes >= min(config.max_buffered_bytes, config.max_block_bytes) or time.monotonic() - self._since >= config.max_buffered_seconds)
+            if due:
+                self.flush()
 
     def flush(self) -> None:
-        """Returns when all rows taken before are stored."""
-        held, self._buffer, self._buffered_bytes = self._buffer, [], 0
-        if not held:
-            return
-        failed: Exception | None = None
-        try:
-            self.ingest_json(self.spark.createDataFrame([(t,) for t, _ in held], "row string"), "row")
-        except Exception as e:
-            failed = e
+        """Returns when all rows taken before are stored. If that fails, they are dropped and all callbacks get the error."""
+        with self._lock:
+            held, self._buffer, self._buffered_bytes = self._buffer, [], 0
+            if self._timer is not None:
+                self._timer.cancel()
+            if not held:
+                return
+            failed: Exception | None = None
+            try:
+                self.ingest_json(self.spark.createDataFrame([(t,) for t, _ in held], "row string"), "row")
+            except Exception as e:
+                failed = e
         for _, done in held:
             if done is not None:
                 done(failed)
@@ -219,6 +260,10 @@ class Engine:
     def files(self) -> DataFrame:
         return self.store.table("files", self.store.state(), FILES)
 
+    def block_filters(self, file: str, partition: str, block: int) -> DataFrame:
+        """The filters of one block, for tools."""
+        return self.blocks().where((F.col("file") == file) & (F.col("partition_id") == partition) & (F.col("block") == block)).select("fields", "tokens", "pairs")
+
     # ---- queries ----
 
     def query(self, query: Query | None = None) -> Results:
@@ -226,9 +271,15 @@ class Engine:
         return Results(self, query or Query())
 
     def merge(self):
-        from tamis.operators.merge import merge
+        """One round of compaction; see operators.merge."""
+        from tamis.operators.merge import MergeInProgress, merge
 
-        return merge(self)
+        if not self._merging.acquire(blocking=False):
+            raise MergeInProgress("this engine is merging")
+        try:
+            return merge(self)
+        finally:
+            self._merging.release()
 
 
 class Results:
@@ -252,6 +303,12 @@ class Results:
         damaged = ~filters_sound(self._guard)
         return blocks.select(*KEY, "rows", "bytes", (damaged | filters_may_match(self._guard)).alias("kept"), damaged.alias("damaged"))
 
+    def block_stats(self) -> DataFrame:
+        """One row for each candidate block: file, partition_id, block, total_rows, total_bytes, skipped, rows_scanned, bytes_scanned."""
+        scanned = F.col("kept") & ~F.col("damaged")
+        numbers = [F.when(scanned, F.col(c)).otherwise(0).alias(f"{c}_scanned") for c in ("rows", "bytes")]
+        return self.candidates().select(*KEY, F.col("rows").alias("total_rows"), F.col("bytes").alias("total_bytes"), (~F.col("kept")).alias("skipped"), *numbers)
+
     @cached_property
     def _plan(self) -> tuple[QueryStats, list | None, list]:
         """Statistics, the kept blocks if they are few, the damaged ones."""
