@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamis.llm.shared import WORD, read, staged
+from tamis.llm.shared import WORD, partitions, read, staged
 
 BLOCK, PIECE, ROUNDS, SHARD_BLOCKS = 128, 4096, 16, 1024
 #: Documents a chunk holds at most on average; never fewer than LEAST_CHUNKS chunks, so that a hot source spreads.
@@ -36,15 +36,20 @@ def scramble(x: Column, r: Column | int) -> Column:
     return (y * 48271 + 11) % P
 
 
-def permuted(x: Column, n: Column, key: Column) -> Column:
-    """The place of x under a bijection of 0..n-1 that key (a number below 2**20) names."""
+def round_keys(n: Column, key: Column) -> Column:
+    """What every round of permuted() mirrors at: an array for a key below 2**20, made once for many places."""
+    rounds = F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long"))
+    return F.transform(rounds, lambda r: F.struct(((key * ROUNDS + r) % 1048573).alias("key"), (scramble(key * ROUNDS + r, 1) % n).alias("mirror")))
+
+
+def permuted(x: Column, n: Column, rounds: Column) -> Column:
+    """The place of x under a bijection of 0..n-1, with the rounds of round_keys()."""
 
     def step(at: Column, r: Column) -> Column:
-        round_key = key * ROUNDS + r
-        mirror = (scramble(round_key, 1) % n + n - at) % n
-        return F.when(scramble(F.greatest(at, mirror), round_key % 1048573) % 2 == 1, mirror).otherwise(at)
+        mirror = (r["mirror"] + n - at) % n
+        return F.when(scramble(F.greatest(at, mirror), r["key"]) % 2 == 1, mirror).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), x, step)
+    return F.aggregate(rounds, x, step)
 
 
 def word_count(text: str) -> Column:
@@ -95,10 +100,12 @@ def block_slots(sources: DataFrame) -> DataFrame:
     shards = F.greatest(F.lit(1), F.ceil(F.col("all") / SHARD_BLOCKS)).cast("long")
     rows = sources.withColumn("all", F.sum("slots").over(Window.partitionBy())).where("slots > 0")
     rows = rows.select("rank", "blocks", "slots", shards.alias("shards"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / PIECE))).alias("piece"))
-    rows = rows.repartition("rank", "piece")
+    # A few rows make many: a number of tasks of its own, which adaptive execution leaves alone.
+    rows = rows.repartition(partitions(sources.sparkSession), "rank", "piece")
+    rows = rows.withColumn("keys", F.array(*[round_keys(F.col("blocks"), (F.col("rank") * 2 + e) % 1048576) for e in (0, 1)]))
     rows = rows.withColumn("slot", F.explode(F.sequence(F.col("piece") * PIECE, F.least(F.col("slots"), (F.col("piece") + 1) * PIECE) - 1)))
     rows = rows.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks"))).withColumn("x", F.col("slot") % F.col("blocks"))
-    rows = rows.withColumn("block", permuted(F.col("x"), F.col("blocks"), (F.col("rank") * 2 + F.col("epoch")) % 1048576))
+    rows = rows.withColumn("block", permuted(F.col("x"), F.col("blocks"), F.col("keys")[F.col("epoch").cast("int")]))
     return rows.select("rank", "slot", (scramble(F.col("slot"), F.col("rank") % 1048573) % F.col("shards")).alias("shard"), "epoch", "block")
 
 
@@ -112,7 +119,8 @@ def segments(placed: DataFrame, uses: DataFrame) -> DataFrame:
     parts = placed.where("size > 0").select("rank", "chunk", "at", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))).alias("block"))
     low = F.greatest(F.col("start"), F.col("block") * BLOCK)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    return parts.join(uses, ["rank", "block"]).select("rank", "chunk", "at", (low - F.col("start")).alias("first"), (high - low).alias("words"), "uses")
+    # Block uses grow with the data and are never broadcast.
+    return parts.join(uses.hint("merge"), ["rank", "block"]).select("rank", "chunk", "at", (low - F.col("start")).alias("first"), (high - low).alias("words"), "uses")
 
 
 def mix(docs: DataFrame, **targets) -> DataFrame:
@@ -121,7 +129,7 @@ def mix(docs: DataFrame, **targets) -> DataFrame:
     _, placed, uses = block_plan(sizes, **targets)
     placed = staged(placed, "placed")
     taken = segments(placed, uses).groupBy("rank", "chunk", "at").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    out = placed.join(taken, ["rank", "chunk", "at"], "left")
+    out = placed.join(taken.hint("merge"), ["rank", "chunk", "at"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
