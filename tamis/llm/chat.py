@@ -6,8 +6,9 @@ strings and the escape character inside texts and roles are escaped, so parse()
 
 Cases: a null text is empty; a null role is the empty role. Turns sort by turn, then role, then text, nulls first;
 repeated rows are repeated turns. Rows with a null conv_id form one conversation without a name. A conversation in an
-order that the machine refuses is formatted all the same, with valid = false and the place of the first bad turn. An
-empty table gives no rows. A conversation passes through one task as a stream, turn by turn.
+order that the machine refuses is formatted all the same; its turns from the first bad one on aren't accepted. An empty
+table gives no rows. A conversation's turns pass through one task in order, as its digests demand, but as a stream:
+sorting may spill, and no more than a batch of turns is in memory.
 """
 
 from __future__ import annotations
@@ -50,16 +51,6 @@ class Template:
         return [(before + self.escaped(role, True) + after, False), (self.escaped(text), role in self.loss_roles), (self.close, False)]
 
 
-def first_bad(roles: list[str], template: Template) -> int:
-    """Place of the first turn that the machine refuses; -1 if none; the length if it stops in a state that isn't final."""
-    state = "start"
-    for k, role in enumerate(roles):
-        if role not in template.moves.get(state, ()):
-            return k
-        state = role
-    return -1 if state in template.final else len(roles)
-
-
 def parse(text: str, template: Template) -> list[tuple[str, str]]:
     """(role, text) of every turn of formatted text, unescaped. Control strings count where no escape stands before them."""
     before, after = template.open.split("{role}")
@@ -76,60 +67,76 @@ def parse(text: str, template: Template) -> list[tuple[str, str]]:
 
 
 def format_chat(turns: DataFrame, template: Template | None = None) -> DataFrame:
-    """turns: conv_id, turn, role, text. One row a conversation: conv_id, formatted, segments (text, loss), valid, bad_turn."""
+    """turns: conv_id, turn, role, text. One row a turn, each conversation's rows together and in order.
+
+    Returns conv_id, place (0, 1, ...), role, formatted, segments (text, loss), accepted (the machine allows the turn
+    after those before it) and complete (the conversation may end here). A conversation's text is what its rows hold
+    one after another.
+    """
     template = template or Template()
     turns = turns.select("conv_id", "turn", "role", "text").repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    kind = pa.struct([("text", pa.string()), ("loss", pa.bool_())])
+    schema = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("segments", pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))), ("accepted", pa.bool_()), ("complete", pa.bool_())])
 
     def run(batches):
-        now, pieces, roles = None, [], []
-
-        def done():
-            bad = first_bad(roles, template)
-            return {"conv_id": [now[0]], "formatted": ["".join(t for t, _ in pieces)], "segments": pa.array([[{"text": t, "loss": x} for t, x in pieces]], pa.list_(kind)), "valid": [bad < 0], "bad_turn": [bad]}
-
-        held = []
+        now, place, state = None, 0, "start"
         for batch in batches:
+            rows = []
             for conv, role, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text"))):
-                if now is not None and now[0] != conv:
-                    held.append(done())
-                    pieces, roles = [], []
-                now = (conv,)
-                roles.append(role or "")
-                pieces += template.segments(role or "", text or "")
-            if held:
-                yield merged(held)
-                held = []
-        if now is not None:
-            yield merged([done()])
+                if now != (conv,):
+                    now, place, state = (conv,), 0, "start"
+                role = role or ""
+                # After a refused turn nothing is accepted any more.
+                state = role if role in template.moves.get(state, ()) else None
+                parts = template.segments(role, text or "")
+                rows.append({"conv_id": conv, "place": place, "role": role, "formatted": "".join(t for t, _ in parts), "segments": [{"text": t, "loss": x} for t, x in parts], "accepted": state is not None, "complete": state in template.final})
+                place += 1
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def merged(rows):
-        arrays = {c: pa.concat_arrays([pa.array(r[c], pa.int64() if c in ("conv_id", "bad_turn") else None) if isinstance(r[c], list) else r[c] for r in rows]) for c in rows[0]}
-        return pa.RecordBatch.from_pydict(arrays)
-
-    return turns.mapInArrow(run, "conv_id long, formatted string, segments array<struct<text:string,loss:boolean>>, valid boolean, bad_turn long")
+    return turns.mapInArrow(run, "conv_id long, place long, role string, formatted string, segments array<struct<text:string,loss:boolean>>, accepted boolean, complete boolean")
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """Digests of what the formatted text and the segments say, without a look at the turns they came from."""
+    """One row a conversation: digests of what its formatted text and segments say, without a look at the turns.
+
+    formatted: the rows of format_chat(), a conversation's together and in order. Only digests under way are held.
+    """
     template = template or Template()
+    names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
 
     def run(batches):
+        now, whole = None, None
+
+        def done():
+            conv, n, turns, chars, loss, size, valid = whole
+            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), size, valid
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
         for batch in batches:
             rows = []
-            for conv, text, parts, valid in zip(*(batch[c].to_pylist() for c in ("conv_id", "formatted", "segments", "valid"))):
-                turns = parse(text, template)
-                digest = hashlib.sha256()
-                for role, said in turns:
-                    digest.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+            for conv, text, parts, complete in zip(*(batch[c].to_pylist() for c in ("conv_id", "formatted", "segments", "complete"))):
+                if now != (conv,):
+                    if whole is not None:
+                        rows.append(done())
+                    now, whole = (conv,), [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, False]
                 if "".join(p["text"] for p in parts) != text:
                     raise ValueError("segments and text differ")
-                loss = [template.unescaped(p["text"]) for p in parts if p["loss"]]
-                loss_text = "".join(loss)
-                rows.append((conv, len(turns), digest.hexdigest(), len(loss_text), hashlib.sha256(loss_text.encode("utf-8", "surrogatepass")).hexdigest(), len(text), valid))
-            names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                for role, said in parse(text, template):
+                    whole[1] += 1
+                    whole[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                for p in parts:
+                    if p["loss"]:
+                        plain = template.unescaped(p["text"])
+                        whole[3] += len(plain)
+                        whole[4].update(plain.encode("utf-8", "surrogatepass"))
+                whole[5] += len(text)
+                whole[6] = complete
+            if rows:
+                yield table(rows)
+        if whole is not None:
+            yield table([done()])
 
     return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
