@@ -288,13 +288,17 @@ class TypedRows:
 
     def paths(self) -> Column:
         """All paths of a row, for storing."""
-        parts = [self._paths(f.name, f.dataType, c, F.lit("")) for f, c in self._columns()]
+        parts = [self._paths(f.name, f.dataType, c, "") for f, c in self._columns()]
         return F.array_distinct(F.flatten(F.array(*parts))) if parts else F.array().cast("array<string>")
 
-    def _paths(self, key: str, kind: T.DataType, x: Column, path: Column) -> Column:
-        own = _below(path, F.lit(key))
-        head = F.filter(F.array(*[_below(path, F.lit(p)) for k in range(1, key.count(DOT) + 2) if (p := DOT.join(key.split(DOT)[:k])) or not key]), lambda p: p != "")
-        whole = F.concat(head, path_array(kind, x, own, self._paths))
+    def _paths(self, key: str, kind: T.DataType, x: Column, path: str | Column) -> Column:
+        """path is a Column only below a map's key."""
+        if isinstance(path, str):
+            own, head = below(path, key), F.array(*map(F.lit, prefixes(path, key))).cast("array<string>")
+        else:
+            own = _below(path, F.lit(key))
+            head = F.filter(F.array(*[_below(path, F.lit(p)) for k in range(1, key.count(DOT) + 2) if (p := DOT.join(key.split(DOT)[:k])) or not key]), lambda p: p != "")
+        whole = F.concat(head, path_array(kind, x, own, self._paths)) if isinstance(kind, T.StructType | T.ArrayType | T.MapType) else head
         return whole if self.keep else F.when(x.isNotNull(), whole).otherwise(F.array().cast("array<string>"))
 
     def leaves(self) -> Column:
@@ -306,11 +310,13 @@ def _moved(leaves: Column, prefix: str) -> Column:
     return F.transform(leaves, lambda leaf: F.struct(F.concat(F.lit(prefix), leaf["path"]).alias("path"), leaf["text"].alias("text")))
 
 
-def _below(path: Column, key: Column) -> Column:
+def _below(path: str | Column, key: Column) -> Column:
+    if isinstance(path, str):
+        return F.concat(F.lit(path + DOT), key) if path else key
     return F.when(path == "", key).otherwise(F.concat(path, F.lit(DOT), key))
 
 
-def path_array(kind: T.DataType, x: Column, path: Column, member) -> Column:
+def path_array(kind: T.DataType, x: Column, path: str | Column, member) -> Column:
     """Paths inside a value."""
     none = F.array().cast("array<string>")
     if isinstance(kind, T.StructType):

@@ -39,12 +39,16 @@ def file_name() -> Column:
     return F.substring_index(F.col("_metadata.file_path"), "/", -2)
 
 
-def entries(tokenizer: Tokenizer | None) -> list[Column]:
-    """Distinct hashes of a row, for each of FILTERS."""
+def words(tokenizer: Tokenizer | None) -> Column:
+    """The tokens of every leaf of a row, with its path."""
     split = tokenizer or whitespace_lower
-    words = F.transform("leaves", lambda leaf: F.struct(leaf["path"].alias("path"), split(leaf["text"]).alias("tokens")))
-    tokens = F.flatten(F.transform(words, lambda w: F.transform(w["tokens"], lambda t: F.xxhash64(t))))
-    pairs = F.flatten(F.transform(words, lambda w: F.transform(w["tokens"], lambda t: F.xxhash64(w["path"], t))))
+    return F.transform("leaves", lambda leaf: F.struct(leaf["path"].alias("path"), split(leaf["text"]).alias("tokens")))
+
+
+def entries() -> list[Column]:
+    """Distinct hashes of a row with a column `words`, for each of FILTERS."""
+    tokens = F.flatten(F.transform("words", lambda w: F.transform(w["tokens"], lambda t: F.xxhash64(t))))
+    pairs = F.flatten(F.transform("words", lambda w: F.transform(w["tokens"], lambda t: F.xxhash64(w["path"], t))))
     return [F.array_distinct(F.transform("paths", lambda p: F.xxhash64(p))).alias("fields"), F.array_distinct(tokens).alias("tokens"), F.array_distinct(pairs).alias("pairs")]
 
 
@@ -58,7 +62,9 @@ def block_index(rows: DataFrame, tokenizer: Tokenizer | None, ranges: list[str],
     rows: stored rows as read from their files. ranges: the fields whose ranges blocks keep.
     """
     ends = [F.col("ranges").getItem(f)[end].alias(f"{end}{k}") for k, f in enumerate(ranges) for end in ("min", "max")]
-    keyed = rows.select(file_name().alias("file"), "partition_id", "block", "bytes", *ends, *entries(tokenizer))
+    # Two steps, so that each text is split once.
+    split = rows.select(file_name().alias("file"), "partition_id", "block", "bytes", "ranges", "paths", words(tokenizer).alias("words"))
+    keyed = split.select(*KEY, "bytes", *ends, *entries())
     names = [f"{end}{k}" for k in range(len(ranges)) for end in ("min", "max")]
     part_kind = pa.schema([("file", pa.string()), ("partition_id", pa.string()), ("block", pa.int64()), ("rows", pa.int64()), ("bytes", pa.int64()), *[(n, pa.int64()) for n in names], *[(f, pa.binary()) for f in FILTERS]])
 
