@@ -33,6 +33,8 @@ from tamis.llm.shared import LOWER, chunked, kept, partitions, read, staged, str
 #: Fingerprints of one pattern that one task compares at most.
 CELL = 16_384
 LEAF = 32
+#: Rows of large patterns that are broadcast at most; beyond it they are joined by sorting.
+LISTED = 10_000
 
 
 def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
@@ -160,15 +162,19 @@ def link_fingerprints(distinct: DataFrame, fp: str = "fp", bits: int = 4, cell:
     table = masks(bits, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in table]
     rows = distinct.select(F.col(fp).alias("fp"), F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("mask", "m")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("m")).alias("pattern"))
-    rows = rows.repartition(partitions(spark), "mask", "pattern")
     # Patterns above the cell size, which only an adversary or an enormous family of variants makes, are cut up.
+    # Counts are summed before they move, so a hot pattern gathers nowhere; in most data no pattern is large.
     large = rows.groupBy("mask", "pattern").agg(F.count("*").alias("members")).where(F.col("members") > cell)
-    large = large.select("mask", "pattern", F.ceil(F.col("members") / (cell // 2)).cast("int").alias("slices"))
-    rows = rows.join(large, ["mask", "pattern"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    # A slice is drawn by hash; each pair of slices meets in one cell.
-    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    rows = rows.select("fp", "mask", "pattern", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    large = staged(large.select("mask", "pattern", F.ceil(F.col("members") / (cell // 2)).cast("int").alias("slices")), "patterns")
+    n_large = large.count()
+    if n_large:
+        rows = rows.join(F.broadcast(large) if n_large <= LISTED else large.hint("merge"), ["mask", "pattern"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+        # A slice is drawn by hash; each pair of slices meets in one cell.
+        own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        rows = rows.select("fp", "mask", "pattern", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    else:
+        rows = rows.select("fp", "mask", "pattern", F.lit(0).alias("i"), F.lit(0).alias("j"))
     cells = rows.repartition(partitions(spark), "mask", "pattern", "i", "j").sortWithinPartitions("mask", "pattern", "i", "j")
 
     def run(batches):
