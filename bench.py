@@ -45,11 +45,16 @@ def main() -> None:
         times[name] = min(run(catalog.QUERIES[name](spark, SF_DIR)) for _ in range(2))
     events = catalog.table(spark, SF_DIR, "events").drop("ts")
     n = events.count()
-    engine = Engine(spark, f"file://{folder}/index", Config(partition=lambda df: F.col("event_type"), minmax=("event_id", "value")))
-    began = time.perf_counter()
+    config = Config(partition=lambda df: F.col("event_type"), minmax=("event_id", "value"))
+    ingests = []
+    for k in range(2):
+        began = time.perf_counter()
+        Engine(spark, f"file://{folder}/whole{k}", config).ingest(events)
+        ingests.append(time.perf_counter() - began)
+    times["index_ingest"] = min(ingests)
+    engine = Engine(spark, f"file://{folder}/halves", config)
     for k in range(2):
         engine.ingest(events.where(F.pmod("event_id", F.lit(2)) == k))
-    times["index_ingest"] = time.perf_counter() - began
     for name, asked in (("index_hit", query().field_token("event_type", "error")), ("index_miss", query().token("nonexistent")), ("index_regex", query().field_token("event_type", "error").field_regex("props", "1}|2}"))):
         for _ in range(2):
             began = time.perf_counter()

@@ -54,7 +54,11 @@ def number_text(x: Column) -> Column:
     plain = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, "\\.?0+$", "")).otherwise(plain)
     power = F.regexp_replace(F.regexp_replace(F.lower(digits), "\\.?0*e\\+?(-?)0*", "e$1"), "e(?=\\d)", "e+")
     sparse = (size >= 1e21) | ((size < 1e-6) & (size > 0))
-    return F.when(F.isnan(d) | (size == float("inf")), F.lit(None).cast("string")).when(sparse, power).otherwise(plain)
+    slow = F.when(F.isnan(d) | (size == float("inf")), F.lit(None).cast("string")).when(sparse, power).otherwise(plain)
+    # Most numbers are written out in at most 16 digits already.
+    text = x.cast("string")
+    common = (((size >= 1e-3) & (size < 1e7)) | (size == 0)) & (F.length(text) <= 17)
+    return F.when(common, F.when(F.endswith(text, F.lit(".0")), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)).otherwise(slow)
 
 
 def timestamp_text(x: Column, zoned: bool) -> Column:

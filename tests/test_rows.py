@@ -27,7 +27,7 @@ def test_default_tokenizer(spark):
 
 
 def test_number_text(spark):
-    want = {1e21: "1e+21", 1e-7: "1e-7", 1.5: "1.5", 100.0: "100", 12345678.25: "12345678.25", 1e20: "100000000000000000000", 0.000123: "0.000123", 2.0**60: "1152921504606847000", 1.5e-7: "1.5e-7", 0.1: "0.1", -50.0: "-50", 1234567890123.5: "1234567890123.5", 0.0: "0", 1e-6: "0.000001", 9007199254740993.0: "9007199254740992", 2.0**70: "1.1805916207174113e+21", 2.0**-44: "5.684341886080802e-14", 2e-3: "0.002", 1 / 3: "0.3333333333333333"}
+    want = {1e21: "1e+21", 1e-7: "1e-7", 1.5: "1.5", 100.0: "100", 12345678.25: "12345678.25", 1e20: "100000000000000000000", 0.000123: "0.000123", 2.0**60: "1152921504606847000", 1.5e-7: "1.5e-7", 0.1: "0.1", -50.0: "-50", 1234567890123.5: "1234567890123.5", 0.0: "0", 123456.7890123456: "123456.7890123456", -1234567.0: "-1234567", 9999999.0: "9999999", 1e-3: "0.001", 1e-6: "0.000001", 9007199254740993.0: "9007199254740992", 2.0**70: "1.1805916207174113e+21", 2.0**-44: "5.684341886080802e-14", 2e-3: "0.002", 1 / 3: "0.3333333333333333"}
     rows = spark.createDataFrame([(v,) for v in want], "v double").select("v", number_text(F.col("v")).alias("t")).collect()
     assert {r.v: r.t for r in rows} == want
     assert spark.createDataFrame([(math.nan,), (math.inf,), (None,)], "v double").where(number_text(F.col("v")).isNotNull()).count() == 0
