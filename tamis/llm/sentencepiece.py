@@ -102,7 +102,7 @@ class Vocabulary:
         self.follows: dict[int, bool] = {}
         self.slot_keys, self.slot_values = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, bool)
         self.sizes = np.array([len(p) for p in self.pieces], np.int32)
-        self.runs = Runs()
+        self.runs = Runs(400_000)
 
     def single(self) -> np.ndarray:
         """Characters that are pieces."""
@@ -137,7 +137,7 @@ class Vocabulary:
         out = self.slot_values[at]
         missed = np.flatnonzero(self.slot_keys[at] != keys)
         if len(missed):
-            if len(self.follows) > 1_500_000:
+            if len(self.follows) > 600_000:
                 self.follows.clear()
             found = []
             for key in keys[missed].tolist():
