@@ -1,11 +1,12 @@
 """License scans with a positional index of rare licence words.
 
 The index maps every word of the licence templates to its postings (template, position). Document frequencies of these
-words are counted over the whole corpus. A file looks up its RAREST words of highest inverse document frequency; each
-occurrence at position p and posting at position q vote for the template to start at p - q. A template whose start
-collects at least half the votes it could get from the looked-up words is aligned there: the share of its words that
-stand in place is the coverage, and it counts if that reaches COVER and the template's mandatory phrases stand inside
-the aligned stretch. Fixed base phrases are found apart, at all their places.
+words are counted over the whole corpus. Every template has its own looked-up words, those of highest inverse document
+frequency that hold more than twice the places which may be out of place at coverage COVER; each occurrence at position
+p and posting at position q vote for the template to start at p - q. A start with that coverage lacks no more votes than
+places may be out of place, so none is passed over, whatever else the file holds. A template is aligned where its votes
+allow it: the share of its words that stand in place is the coverage, and it counts if that reaches COVER and the
+template's mandatory phrases stand inside the aligned stretch. Fixed base phrases are found apart, at all their places.
 
 Cases: a null text is empty, has no words, no labels and score 0. Ties go to the lower start and the template listed
 first. Repeated rows give repeated results, an empty table none. Texts without any template word cost one look.
@@ -24,7 +25,7 @@ from tamis.llm.shared import byte_table, chunked, kept, read, split_words, strin
 
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z in lower case: digits, letters and all bytes of longer code points.
 WORDS = byte_table(lambda c: 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128)
-RAREST, COVER = 12, 0.75
+COVER = 0.75
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 #: (label, mandatory phrases, words): notices as they stand in file heads.
@@ -57,10 +58,22 @@ class Index:
         self.number, self.vocabulary = number, pa.array(self.words, pa.large_string())
         self.templates = [(label, [np.array([number[w] for w in p.split()]) for p in ps], np.array([number[w] for w in t.split()])) for label, ps, t in templates]
         self.base = [(np.array([number[w] for w in p.split()]), label) for p, label in base]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+
+    def postings(self, idf: np.ndarray) -> tuple[dict[int, list[tuple[int, int]]], list[int]]:
+        """The (template, position) of every looked-up word, and the votes that a start of each template needs."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        least = []
         for t, (_, _, words) in enumerate(self.templates):
-            for q, w in enumerate(words.tolist()):
-                self.postings.setdefault(w, []).append((t, q))
+            spare, n = int(len(words) * (1 - COVER)), 0
+            distinct = np.unique(words)
+            for w in distinct[np.argsort(-idf[distinct], kind="stable")].tolist():
+                if n > 2 * spare:
+                    break
+                at = np.flatnonzero(words == w).tolist()
+                found.setdefault(w, []).extend((t, q) for q in at)
+                n += len(at)
+            least.append(n - spare)
+        return found, least
 
     def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of every word of texts, -1 for words outside the templates, and words a text."""
@@ -80,19 +93,16 @@ def places(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return ok
 
 
-def aligned(index: Index, words: np.ndarray, idf: np.ndarray) -> list[tuple[str, int, float]]:
+def aligned(index: Index, words: np.ndarray, postings: dict[int, list[tuple[int, int]]], least: list[int]) -> list[tuple[str, int, float]]:
     """(label, start, coverage) of every template that counts in a text; words: numbers, -1 for others."""
-    at = np.flatnonzero(words >= 0)
-    seen = np.unique(words[at])
-    rare = set(seen[np.argsort(-idf[seen], kind="stable")][:RAREST].tolist())
     votes: dict[tuple[int, int], int] = {}
-    for p in at[np.isin(words[at], list(rare))].tolist():
-        for t, q in index.postings.get(int(words[p]), ()):
+    for p in np.flatnonzero(np.isin(words, list(postings))).tolist():
+        for t, q in postings[int(words[p])]:
             votes[t, p - q] = votes.get((t, p - q), 0) + 1
     best: dict[int, tuple[float, int]] = {}
     for (t, start), n in votes.items():
         label, phrases, template = index.templates[t]
-        if 2 * n < sum(w in rare for w in template.tolist()):
+        if n < least[t]:
             continue
         low, high = max(0, start), min(len(words), start + len(template))
         window = words[low:high]
@@ -133,6 +143,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
     def run(batches):
         index = Index()
+        postings, least = index.postings(idf)
         for table in chunked(batches, 16 << 20):
             words, counts = index.numbered(strings(table["__text"]))
             ends = np.cumsum(counts)
@@ -146,7 +157,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 found = [(label, places(own, phrase)) for phrase, label in index.base] if h else []
                 where = np.concatenate([p for _, p in found]) if found else np.zeros(0, np.int64)
                 base = {label for label, p in found if len(p)}
-                more = aligned(index, own, idf) if h else []
+                more = aligned(index, own, postings, least) if h else []
                 rows["n_base"].append(len(where))
                 rows["first_word"].append(int(where.min()) if len(where) else None)
                 rows["last_word"].append(int(where.max()) if len(where) else None)

@@ -211,6 +211,16 @@ def test_templates_align_through_small_changes(spark):
     assert rows[0].matches[0].start == 0
 
 
+def test_files_with_several_notices_keep_all_labels(spark):
+    rng = np.random.default_rng(1)
+    notices = [(label, words) for label, _, words in licenses.TEMPLATES]
+    picks = [list(range(len(notices)))] + [sorted(rng.choice(len(notices), n, replace=False).tolist()) for n in (2, 3, 4) for _ in range(40)]
+    texts = [" and then ".join(notices[i][1] for i in p) for p in picks]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    for r in rows:
+        assert {notices[i][0] for i in picks[r.doc_id]} <= set(r.labels.split(",")) and r.score == 1
+
+
 def test_document_frequencies(spark, odd_docs):
     index = licenses.Index()
     df, n = licenses.document_frequencies(odd_docs)
