@@ -37,16 +37,23 @@ LEAF = 32
 LISTED = 10_000
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """(shingles, 8) bytes: the hash of every shingle in order, none for a text without words."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = max(0, len(words) - shingle)
     spans = zip(starts[: k + 1].tolist(), ends[len(words) - 1 - k :].tolist())
-    hashes = np.frombuffer(b"".join([xxh64_digest(joined[s:e], seed) for s, e in spans]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([xxh64_digest(joined[s:e], seed) for s, e in spans]), np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[at : at + (1 << 15)], axis=1).sum(0, dtype=np.int64)

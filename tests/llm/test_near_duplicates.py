@@ -162,3 +162,59 @@ def test_tables_reach_the_recall():
     for bits in (8, 16, 24):
         same = (1 - np.arccos(0.98) / np.pi) ** bits
         assert 1 - (1 - same) ** tables_for(0.98, bits, 0.999) >= 0.999
+
+
+# ---- similar texts ----
+
+
+def plain_shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def plain_similar(rows):
+    """doc -> component by exact Jaccard similarity of all pairs."""
+    sets = [plain_shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or (both := len(sets[i] & sets[j])) and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9]
+    group = union_find(range(len(rows)), links)
+    least = {}
+    for (d, _), g in zip(rows, group.values()):
+        least[g] = min(least.get(g, d), d)
+    return {d: least[g] for (d, _), g in zip(rows, group.values())}
+
+
+def changed_texts(rng, n, words):
+    """Texts of random words, each with a copy in which a few words differ, so that similarities lie on both sides of 0.8."""
+    rows = []
+    for k in range(n):
+        text = [f"w{rng.randrange(5000)}" for _ in range(words)]
+        copy = list(text)
+        for at in rng.sample(range(words), max(1, words * (1 + k % 4) // 120)):
+            copy[at] = "other"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+    return rows
+
+
+def test_the_pipeline_drops_what_is_similar_by_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = changed_texts(rng, 60, 240) + [(1000 + d, t) for d, t in changed_texts(rng, 20, 60)] + [(2000, None), (2001, ""), (2002, "few words"), (2003, "Few  words")]
+    want = plain_similar(rows)
+    pairs = {d: plain_fingerprint(t, 5) for d, t in rows}
+    lost = [d for d, c in want.items() if d != c and (pairs[d] ^ pairs[c]).bit_count() > 4]
+    assert len(lost) >= 15 and sum(want[d] == d for d in want if d % 2 and d < 2000) >= 15
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    assert got == set(want.values())
+
+
+def test_sets_and_prints_in_slices(spark, monkeypatch):
+    from tamis.llm import similar
+
+    monkeypatch.setattr(similar, "CELL", 8)
+    monkeypatch.setattr(similar, "SMALL", 4)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(k, " ".join(base[:k] + ["x"] + base[k + 1 :])) for k in range(40)] + [(k + 100, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(20)]
+    got = {r.doc_id: r.component_id for r in similar.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_similar(rows)
