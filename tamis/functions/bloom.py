@@ -1,13 +1,14 @@
 """Bloom filters sized by exact counts: built with numpy, probed by Spark expressions.
 
 An entry is a 64-bit hash; bit j of it is (low + j * high) mod size, from its two halves. A filter is
-struct<n, size, hashes, bits, crc>: entries, bits, hash functions, the bits as bytes (low bit first) and their CRC-32.
+struct<n, size, hashes, words, check>: entries, bits, hash functions, the bits in longs (low bit first) and their XXH64.
+A probe reads a long by its place and tests one bit of it. check is made by Spark from what it stores, and compared for
+every filter that a query asks: a damaged filter that says no would hide rows, so none is trusted unchecked.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FILTER = T.StructType([T.StructField("n", T.LongType()), T.StructField("size", T.LongType()), T.StructField("hashes", T.IntegerType()), T.StructField("bits", T.BinaryType()), T.StructField("crc", T.LongType())])
-FILTER_ARROW = pa.struct([("n", pa.int64()), ("size", pa.int64()), ("hashes", pa.int32()), ("bits", pa.binary()), ("crc", pa.int64())])
+FILTER = T.StructType([T.StructField("n", T.LongType()), T.StructField("size", T.LongType()), T.StructField("hashes", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("check", T.LongType())])
+FILTER_ARROW = pa.struct([("n", pa.int64()), ("size", pa.int64()), ("hashes", pa.int32()), ("words", pa.list_(pa.int64())), ("check", pa.int64())])
 HALF = 0x7FFFFFFF
 
 
@@ -28,14 +29,18 @@ def shape(n: int, false_positives: float) -> tuple[int, int]:
 
 
 def build(entries: np.ndarray, false_positives: float) -> dict:
-    """The filter of distinct int64 hashes."""
+    """The filter of distinct int64 hashes, not yet checked()."""
     size, hashes = shape(len(entries), false_positives)
     low, high = entries & HALF, (entries >> 32) & HALF | 1
-    marks = np.zeros(size, np.uint8)
+    marks = np.zeros(-(-size // 64) * 64, np.uint8)
     for j in range(hashes):
         marks[(low + j * high) % size] = 1
-    bits = np.packbits(marks, bitorder="little").tobytes()
-    return {"n": len(entries), "size": size, "hashes": hashes, "bits": bits, "crc": zlib.crc32(bits)}
+    return {"n": len(entries), "size": size, "hashes": hashes, "words": np.packbits(marks, bitorder="little").view("<i8"), "check": None}
+
+
+def checked(bloom: Column) -> Column:
+    """The filter with the checksum of its bits."""
+    return bloom.withField("check", F.xxhash64(bloom["words"]))
 
 
 def may_hold(bloom: Column, entry: Column, most_hashes: int) -> Column:
@@ -44,11 +49,10 @@ def may_hold(bloom: Column, entry: Column, most_hashes: int) -> Column:
 
     def bit(j: Column) -> Column:
         at = F.pmod(low + j * high, bloom["size"])
-        byte = F.conv(F.hex(F.substring(bloom["bits"], F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return (F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1)) == 1
+        return F.getbit(F.get(bloom["words"], F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
 
     return F.forall(F.sequence(F.lit(0).cast("long"), F.least(bloom["hashes"], F.lit(most_hashes)).cast("long") - 1), bit)
 
 
 def sound(bloom: Column) -> Column:
-    return F.coalesce(F.crc32(bloom["bits"]) == bloom["crc"], F.lit(False))
+    return F.coalesce(F.xxhash64(bloom["words"]) == bloom["check"], F.lit(False))

@@ -11,6 +11,7 @@ import json
 import logging
 import threading
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from datetime import UTC, date, datetime
@@ -28,7 +29,7 @@ from tamis.operators.search import column_ranges, range_map
 from tamis.plans.match import row_filter
 from tamis.plans.prefilter import block_column
 from tamis.plans.query import Query, both, regex_guard
-from tamis.sources.store import Store
+from tamis.sources.store import Batch, HadoopStore, State, Store
 
 log = logging.getLogger("tamis")
 log.addHandler(logging.NullHandler())
@@ -51,7 +52,9 @@ class Config:
     """Limits are soft: blocks are cut by rows, at the number that max_block_bytes allows for rows of average size.
 
     partition: gives the partition column of an ingested DataFrame. minmax: top-level fields whose ranges blocks keep.
-    The buffer limits hold for ingest_rows(). compression: none, snappy or zstd. cache_metadata: keeps the metadata of
+    The buffer limits hold for ingest_rows(); ingest_buffer_size of its callers may wait at once. max_query_concurrency:
+    results that this engine iterates over at once. vacuum_seconds: merges then also delete what no state of so many
+    seconds needs. compression: none, snappy or zstd. cache_metadata: keeps the metadata of
     the current state in Spark's cache, for many queries over one state.
     """
 
@@ -70,11 +73,16 @@ class Config:
     zstd_level: int = 3
     null_fields: str = "keep"
     cache_metadata: bool = False
+    ingest_buffer_size: int = 1_000
+    max_query_concurrency: int = 1_000
+    vacuum_seconds: float | None = None
 
     def __post_init__(self) -> None:
-        for name in ("max_block_bytes", "max_block_rows", "max_file_bytes", "max_buffered_rows", "max_buffered_bytes", "max_buffered_seconds"):
+        for name in ("max_block_bytes", "max_block_rows", "max_file_bytes", "max_buffered_rows", "max_buffered_bytes", "max_buffered_seconds", "ingest_buffer_size", "max_query_concurrency"):
             if getattr(self, name) <= 0:
                 raise InvalidConfigError(f"{name} must be greater than 0")
+        if self.vacuum_seconds is not None and self.vacuum_seconds < 0:
+            raise InvalidConfigError("vacuum_seconds must not be negative")
         if self.max_merged_files < 2:
             raise InvalidConfigError("max_merged_files must be at least 2")
         if not 0 < self.false_positives < 1:
@@ -117,35 +125,43 @@ def json_value(x):
 class Engine:
     #: Rows that the average row size is taken from, and blocks that a query lists on the driver at most.
     SIZED_ROWS, LISTED_BLOCKS = 1_000, 10_000
+    #: Bytes of metadata that a block has at least.
+    BLOCK_METADATA = 400
 
-    def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
+    def __init__(self, spark: SparkSession, root: str | Store, config: Config | None = None):
+        """root: where the index is, in any of Hadoop's file systems, or a store of one's own."""
         self.spark, self.config = spark, config or Config()
-        self.store = Store(spark, root, self.config.cache_metadata)
+        self.store = root if isinstance(root, Store) else HadoopStore(spark, root, self.config.cache_metadata)
         self._buffer: list[tuple[str, Callable | None]] = []
         self._buffered_bytes, self._since, self._stopped = 0, 0.0, False
         self._lock, self._timer, self._merging = threading.RLock(), None, threading.Lock()
+        self._waiting, self._reading = threading.BoundedSemaphore(self.config.ingest_buffer_size), threading.BoundedSemaphore(self.config.max_query_concurrency)
 
     # ---- ingest ----
 
-    def ingest(self, df: DataFrame, batch: str | None = None) -> str | None:
-        """Stores the rows of typed columns. batch: a name under which a repeated batch is stored once only.
+    def ingest(self, df: DataFrame, batch: Batch | None = None) -> str | None:
+        """Stores the rows of typed columns. batch: a name, or a stream and its rising number, under which a repeated batch is stored once only.
 
         Returns the name of the new segment, None if there is nothing new.
         """
+        self._running()
         rows = TypedRows(df.schema, self.config.null_fields)
         text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": str(self.config.null_fields == "drop").lower()}) if df.columns else F.lit("{}")
         return self._ingest(df, text, rows.paths(), rows.leaves(), range_map(column_ranges(df, self.config.minmax)), batch)
 
-    def ingest_json(self, df: DataFrame, column: str, batch: str | None = None) -> str | None:
+    def ingest_json(self, df: DataFrame, column: str, batch: Batch | None = None) -> str | None:
         """Stores JSON objects; any text that isn't one rejects the whole batch. Other columns only serve the partition."""
+        self._running()
+        return self._ingest_texts(df, column, batch)
+
+    def _ingest_texts(self, df: DataFrame, column: str, batch: Batch | None) -> str | None:
         walked = df.withColumn("__walked", walked_json(F.col(column)))
         refused = F.when(F.col("__walked.error").isNotNull(), F.raise_error(F.concat(F.lit("REFUSED "), F.col("__walked.error"))))
         text = F.coalesce(refused, F.col("__walked.json"))
         return self._ingest(walked, text, F.col("__walked.paths"), F.col("__walked.leaves"), json_ranges(list(self.config.minmax))(F.col(column)), batch)
 
-    def _ingest(self, df: DataFrame, text: Column, paths: Column, leaves: Column, ranges: Column, batch: str | None) -> str | None:
-        self._running()
-        if batch is not None and batch in self.store.state().batches:
+    def _ingest(self, df: DataFrame, text: Column, paths: Column, leaves: Column, ranges: Column, batch: Batch | None) -> str | None:
+        if batch is not None and self.store.state().has(batch):
             return None
         partition = F.lit("") if self.config.partition is None else F.coalesce(self.config.partition(df).cast("string"), F.lit(""))
         rows = df.select(partition.alias("partition_id"), text.alias("row_json"), paths.alias("paths"), leaves.alias("leaves"), ranges.alias("ranges"))
@@ -168,7 +184,7 @@ class Engine:
                 raise BatchRejected(str(e).split("REFUSED ")[1].split("\n")[0][:300]) from None
             raise
 
-    def _publish(self, segment: str, rows: DataFrame, ranges: list[str], batch: str | None = None, remove: frozenset = frozenset(), emptied: tuple[str, ...] = ()) -> str:
+    def _publish(self, segment: str, rows: DataFrame, ranges: list[str], batch: Batch | None = None, remove: frozenset = frozenset(), emptied: tuple[str, ...] = ()) -> str:
         """Writes rows and their metadata, and commits. rows are in order within each task, a file a task."""
         config, store = self.config, self.store
         write = rows.select(*ROWS.fieldNames()).write.option("compression", config.compression)
@@ -199,7 +215,7 @@ class Engine:
             if done is not None:
                 done(None)
             return
-        with self._lock:
+        with self._waiting, self._lock:
             if not self._buffer:
                 self._since = time.monotonic()
                 self._timer = threading.Timer(self.config.max_buffered_seconds, self._aged)
@@ -233,7 +249,7 @@ class Engine:
                 return
             failed: Exception | None = None
             try:
-                self.ingest_json(self.spark.createDataFrame([(t,) for t, _ in held], "row string"), "row")
+                self._ingest_texts(self.spark.createDataFrame([(t,) for t, _ in held], "row string"), "row", None)
             except Exception as e:
                 failed = e
         for _, done in held:
@@ -242,11 +258,28 @@ class Engine:
         if failed is not None:
             raise failed
 
-    def stop(self) -> None:
-        """Stores what is buffered; nothing can be ingested afterwards."""
-        if not self._stopped:
-            self.flush()
-            self._stopped = True
+    def stop(self, timeout: float | None = None) -> None:
+        """Stores what is buffered; nothing can be ingested afterwards. After timeout seconds TimeoutError says that storing goes on."""
+        if self._stopped:
+            return
+        self._stopped = True
+        if timeout is None:
+            return self.flush()
+        failed: list[Exception] = []
+
+        def last() -> None:
+            try:
+                self.flush()
+            except Exception as e:
+                failed.append(e)
+
+        storing = threading.Thread(target=last, daemon=True)
+        storing.start()
+        storing.join(timeout)
+        if storing.is_alive():
+            raise TimeoutError(f"rows are still being stored after {timeout} seconds")
+        if failed:
+            raise failed[0]
 
     def _running(self) -> None:
         if self._stopped:
@@ -260,6 +293,10 @@ class Engine:
     def files(self) -> DataFrame:
         return self.store.table("files", self.store.state(), FILES)
 
+    def blocks_bytes(self, state: State) -> int:
+        """Size of the stored block metadata, from the listing that a query of it makes anyway."""
+        return int(str(self.store.table("blocks", state, BLOCKS)._jdf.queryExecution().analyzed().stats().sizeInBytes())) if state.segments else 0
+
     def block_filters(self, file: str, partition: str, block: int) -> DataFrame:
         """The filters of one block, for tools."""
         return self.blocks().where((F.col("file") == file) & (F.col("partition_id") == partition) & (F.col("block") == block)).select("fields", "tokens", "pairs")
@@ -281,6 +318,10 @@ class Engine:
         finally:
             self._merging.release()
 
+    def vacuum(self, older_than: float = 7 * 86_400.0) -> list[str]:
+        """Deletes files that no state of the last older_than seconds needs. Results that are older than that can't be read any more."""
+        return self.store.vacuum(older_than)
+
 
 class Results:
     """Rows that a query accepts, and what it cost. The state of the index is that of the query's start."""
@@ -289,6 +330,8 @@ class Results:
         self.engine, self.query, self.state = engine, query, engine.store.state()
         self._filter = row_filter(query, WalkedRows(F.col("paths"), F.col("leaves")), engine.config.tokenizer)
         self._guard = both(query.keywords, regex_guard(query.regex))
+        self._failures: list[str] = []
+        self._closed, self._tag = False, f"tamis-{uuid.uuid4().hex}"
 
     def candidates(self) -> DataFrame:
         """Blocks of files that metadata doesn't rule out: their KEY, rows, bytes, kept and damaged."""
@@ -312,18 +355,27 @@ class Results:
     @cached_property
     def _plan(self) -> tuple[QueryStats, list | None, list]:
         """Statistics, the kept blocks if they are few, the damaged ones."""
-        found = self.candidates()
+        most, found = self.engine.LISTED_BLOCKS, self.candidates().select(*KEY, "rows", "bytes", "kept", "damaged")
+        if self.engine.blocks_bytes(self.state) <= most * self.engine.BLOCK_METADATA:
+            # So little metadata has no more blocks than may be listed: one job answers all.
+            rows = found.collect()
+            live = [r for r in rows if r.kept and not r.damaged]
+            stats = QueryStats(sum(r.kept for r in rows), sum(not r.kept for r in rows), sum(r.rows for r in live), sum(r.bytes for r in live))
+            return stats, [tuple(r)[:3] for r in live], [tuple(r)[:3] for r in rows if r.damaged]
         live = F.col("kept") & ~F.col("damaged")
-        totals = found.agg(F.count_if("kept"), F.count_if(~F.col("kept")), F.sum(F.when(live, F.col("rows"))), F.sum(F.when(live, F.col("bytes")))).first()
-        few = totals[0] <= self.engine.LISTED_BLOCKS
-        listed = found.where("kept").select(*KEY, "damaged").collect() if few else None
-        damaged = [r for r in listed if r.damaged] if few else found.where("damaged").select(*KEY).limit(self.engine.LISTED_BLOCKS).collect()
-        return QueryStats(totals[0], totals[1], totals[2] or 0, totals[3] or 0), [tuple(r)[:3] for r in listed if not r.damaged] if few else None, [tuple(r)[:3] for r in damaged]
+        totals = found.agg(F.count_if("kept"), F.count_if(~F.col("kept")), F.sum(F.when(live, F.col("rows"))), F.sum(F.when(live, F.col("bytes"))), F.count_if("damaged")).first()
+        stats = QueryStats(totals[0], totals[1], totals[2] or 0, totals[3] or 0)
+        damaged = [tuple(r) for r in self.damaged_blocks().collect()] if totals[4] else []
+        return stats, [tuple(r)[:3] for r in found.where(live).collect()] if totals[0] <= most else None, damaged
+
+    def damaged_blocks(self) -> DataFrame:
+        """The blocks whose filters can't be trusted, by KEY."""
+        return self.candidates().where("damaged").select(*KEY)
 
     @property
     def errors(self) -> list[str]:
-        """Blocks that couldn't be used; the rows of all others are there."""
-        return [f"damaged filters of block {block} of {file}" for file, _, block in self._plan[2]]
+        """All blocks that couldn't be used, and what broke an iteration; the rows of all other blocks are there."""
+        return [*(f"damaged filters of block {block} of {file}" for file, _, block in self._plan[2]), *self._failures]
 
     def _stored(self) -> DataFrame:
         spark, store = self.engine.spark, self.engine.store
@@ -351,9 +403,33 @@ class Results:
         return self.rows.select(F.from_json("row_json", schema).alias("r")).select("r.*")
 
     def __iter__(self):
-        """Each accepted row as a dict, as it comes in."""
-        for r in self.rows.select("row_json").toLocalIterator(prefetchPartitions=True):
-            yield json.loads(r.row_json)
+        """Each accepted row as a dict, as it comes in. Ends early once the results are closed."""
+        spark = self.engine.spark
+        with self.engine._reading:
+            spark.addTag(self._tag)
+            try:
+                for r in [] if self._closed else self.rows.select("row_json").toLocalIterator(prefetchPartitions=True):
+                    if self._closed:
+                        return
+                    yield json.loads(r.row_json)
+            except Exception as e:
+                if self._closed:
+                    return
+                self._failures.append(str(e).splitlines()[0][:200])
+                raise
+            finally:
+                spark.removeTag(self._tag)
+
+    def close(self) -> None:
+        """Stops iterations over these results and the jobs that serve them. Other uses of `rows` go on."""
+        self._closed = True
+        self.engine.spark.interruptTag(self._tag)
+
+    def __enter__(self) -> Results:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def partial(self) -> tuple[list[dict], list[str]]:
         """All rows that can be read, and what couldn't: if a file is broken, files are read one by one."""
@@ -361,11 +437,13 @@ class Results:
             return list(self), self.errors
         except Exception:
             log.warning("a query failed and reads its files one by one")
+            self._failures.pop()
         out, failed = [], self.errors
-        stats, listed, damaged = self._plan
-        for file in sorted({f for f, _, _ in listed or self.candidates().where("kept and not damaged").select(*KEY).collect()}):
+        stats, listed, _ = self._plan
+        live = self.candidates().where(F.col("kept") & ~F.col("damaged")).select(*KEY)
+        for file in sorted({f for f, _, _ in listed} if listed is not None else {r.file for r in live.select("file").distinct().collect()}):
             one = Results(self.engine, self.query)
-            one.__dict__["_plan"] = (stats, [b for b in listed if b[0] == file], []) if listed is not None else (stats, [tuple(r) for r in self.candidates().where(F.col("kept") & ~F.col("damaged") & (F.col("file") == file)).select(*KEY).collect()], [])
+            one.__dict__["_plan"] = (stats, [b for b in listed if b[0] == file] if listed is not None else [tuple(r) for r in live.where(F.col("file") == file).collect()], [])
             try:
                 out += list(one)
             except Exception as e:

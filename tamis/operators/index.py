@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.functions.bloom import FILTER, FILTER_ARROW, build, may_hold, sound
+from tamis.functions.bloom import FILTER, FILTER_ARROW, build, checked, may_hold, sound
 from tamis.functions.rows import LEAVES
 from tamis.functions.text import Tokenizer, whitespace_lower
 from tamis.plans.query import Field, FieldToken, Node, Token, fold, leaves
@@ -106,7 +106,8 @@ def block_index(rows: DataFrame, tokenizer: Tokenizer | None, ranges: list[str],
     part_schema = ", ".join(f"{n} {'string' if t == pa.string() else 'binary' if t == pa.binary() else 'long'}" for n, t in zip(part_kind.names, part_kind.types))
     schema = T.StructType([*BLOCKS.fields, *[T.StructField(f"{f}_seen", T.BinaryType()) for f in FILTERS]])
     ordered = [f.name for f in schema.fields]
-    return keyed.mapInArrow(partial, part_schema).groupBy(*KEY).applyInArrow(lambda key, t: whole(key, t).select(ordered), schema)
+    built = keyed.mapInArrow(partial, part_schema).groupBy(*KEY).applyInArrow(lambda key, t: whole(key, t).select(ordered), schema)
+    return built.withColumns({f: checked(F.col(f)) for f in FILTERS})
 
 
 def file_index(blocks: DataFrame, false_positives: float) -> DataFrame:
@@ -119,7 +120,8 @@ def file_index(blocks: DataFrame, false_positives: float) -> DataFrame:
             out[f] = pa.array([build(seen, false_positives)], FILTER_ARROW)
         return pa.table(out)
 
-    return blocks.select("file", "rows", "bytes", *[f"{f}_seen" for f in FILTERS]).groupBy("file").applyInArrow(whole, FILES)
+    built = blocks.select("file", "rows", "bytes", *[f"{f}_seen" for f in FILTERS]).groupBy("file").applyInArrow(whole, FILES)
+    return built.withColumns({f: checked(F.col(f)) for f in FILTERS})
 
 
 def filters_used(node: Node | None) -> set[str]:

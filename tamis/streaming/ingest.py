@@ -16,7 +16,7 @@ def ingest_stream(stream: DataFrame, engine: Engine, checkpoint: str, name: str
     """
 
     def store(df: DataFrame, number: int) -> None:
-        batch = f"{name}/{number}"
+        batch = (name, number)
         if json_column is None:
             engine.ingest(df, batch)
         else:
