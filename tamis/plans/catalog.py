@@ -65,7 +65,7 @@ on("field_container", "events", query().field("props").build(), "SELECT * FROM e
 on("field_absent", "events", query().field("props.other").build(), "SELECT * FROM events WHERE json_exists(props, '$.other')", json_columns=("props",))
 on("field_of_nulls_dropped", "documents", query().field("lang").build(), "SELECT * FROM documents WHERE lang IS NOT NULL", null_fields="drop")
 on("token_documents", "documents", query().token("the").build(), "SELECT * FROM documents WHERE " + " OR ".join(sql_has(c, "the") for c in ("text", "lang", "source")))
-on("token_field_documents", "documents", query().field_token("text", "license").build(), f"SELECT * FROM documents WHERE {sql_has('text', 'license')}")
+on("token_field_documents", "documents", query().field_token("text", "license.").build(), f"SELECT * FROM documents WHERE {sql_has('text', 'license.')}")
 on("token_any_field", "events", query().token("error").build(), f"SELECT * FROM events WHERE {sql_has('event_type', 'error')} OR {sql_has('props', 'error')}")
 on("token_never", "events", query().token("Error").build(), "SELECT * FROM events WHERE false")
 on("token_parts", "part", query().match(all_of(Token("small"), any_of(FieldToken("p_brand", "brand#13"), FieldToken("p_size", "7")))).build(),
@@ -77,7 +77,7 @@ on("empty_or", "region", query().match(any_of()).build(), "SELECT * FROM region
 on("match_all", "nation", Query(), "SELECT * FROM nation")
 on("regex_and_or", "pages", query().match_regex(all_of(any_of(FieldRegex("url", "^https?://[a-z.]+/(en|de)/"), FieldRegex("url", r"\.html?$")), FieldRegex("html", "(?i)<title>"))).build(),
    r"SELECT * FROM pages WHERE (regexp_matches(url, '^https?://[a-z.]+/(en|de)/') OR regexp_matches(url, '\.html?$')) AND regexp_matches(html, '(?i)<title>')")
-on("regex_documents", "documents", query().field_regex("text", r"(?i)\b[a-z]+@[a-z]+\.(com|org)\b").build(), r"SELECT * FROM documents WHERE regexp_matches(text, '(?i)\b[a-z]+@[a-z]+\.(com|org)\b')")
+on("regex_documents", "documents", query().field_regex("text", r"(?i)\b[a-z0-9.]+@[a-z0-9.]+\.(com|org)\b").build(), r"SELECT * FROM documents WHERE regexp_matches(text, '(?i)\b[a-z0-9.]+@[a-z0-9.]+\.(com|org)\b')")
 on("regex_number", "orders", query().field_regex("o_totalprice", r"^1\d{5}(\.\d)?$").build(), rf"SELECT * FROM orders WHERE regexp_matches({sql_double('o_totalprice')}, '^1\d{{5}}(\.\d)?$')")
 on("regex_beneath", "events", query().field_regex("props", "^4.$").build(), "SELECT * FROM events WHERE regexp_matches(json_extract_string(props, '$.k'), '^4.$')", json_columns=("props",))
 on("bloom_plus_regex", "events", query().field_token("event_type", "error").field_regex("props", '"k": 1[0-9]}').build(), f"SELECT * FROM events WHERE {sql_has('event_type', 'error')} AND regexp_matches(props, '\"k\": 1[0-9]}}')")
@@ -153,7 +153,7 @@ def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("number_forms", _numbers, f"""SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS low, CAST(ceil(c_acctbal) AS BIGINT) AS high,
 CAST(sign(c_acctbal) * floor(abs(c_acctbal) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS nearest, {sql_double('c_acctbal')} AS number_text FROM customer""")
-register("tokens", lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.explode(whitespace_lower(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")),
+register("tokens", lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.explode(whitespace_lower(F.col("text"))).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs")),
          f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents) GROUP BY token")
 
 
@@ -223,18 +223,6 @@ _NATION = " UNION ALL ".join(f"SELECT '{c}' AS path, unnest({sql_tokens(f'CAST({
 register("file_index_counts", _file_counts, f"SELECT (SELECT count(*) FROM nation) AS rows, CAST(3 AS BIGINT) AS fields, count(DISTINCT token) AS tokens, count(DISTINCT (path, token)) AS pairs FROM ({_NATION})")
 
 
-def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = event_index(spark, sf_dir, batches=2)
-    rows = []
-    for name, asked in (("all", Query()), ("hit", query().field_token("event_type", "error").build()), ("miss", query().token("nonexistent").build())):
-        s = engine.query(asked).stats(matched=True)
-        rows.append((name, s.blocks_processed, s.blocks_skipped, s.rows_scanned, s.bytes_scanned, s.rows_matched))
-    return spark.createDataFrame(rows, "query string, blocks_processed long, blocks_skipped long, rows_scanned long, bytes_scanned long, rows_matched long")
-
-
-register("query_stats", _stats, None)
-
-
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, scratch(spark), Config(partition=lambda df: F.col("event_type")))
     schema = table(spark, sf_dir, "events").drop("ts").schema

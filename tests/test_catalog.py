@@ -2,9 +2,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tamis.plans import catalog
+from tamis.plans import catalog, index_catalog
 
-INDEXED = ("index_", "merge_", "block_index", "file_index", "query_stats", "streaming")
+#: Queries that build an index and have counterparts in test_engine.py.
+INDEXED = ("index_", "merge_preserves", "merge_then", "block_index", "file_index", "streaming")
 
 
 def values(rows):
@@ -27,14 +28,8 @@ def test_query_agrees_with_sql(spark, sf, duck, name):
     assert values(got.select(*columns).collect()) == values(want)
 
 
-def test_statistics(spark, sf):
-    rows = {r["query"]: r for r in catalog.QUERIES["query_stats"](spark, sf).collect()}
-    assert (rows["all"].rows_scanned, rows["all"].rows_matched, rows["all"].blocks_skipped) == (1000, 1000, 0)
-    assert rows["hit"].rows_matched == rows["hit"].rows_scanned < 1000 and rows["hit"].blocks_skipped > 0
-    assert rows["miss"].rows_scanned == 0
-
-
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "event_id" and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(index_catalog.STATS) == {"all", "hit", "miss", "region", "regex"} and set(catalog.QUERIES) == set(catalog.ORACLES)
