@@ -2,14 +2,14 @@
 
 Fingerprints that differ in few bits agree on some masked bit patterns: the 64 bits are cut into k + r blocks, and two
 fingerprints at distance <= k share the bits of at least r whole blocks. Each choice of r blocks is one mask. Under a
-mask, the shared pattern is the upper node of a tree; its fingerprints are sorted by Gray rank, so that neighbours
-share further bits, which each inner node factors out as a mask and a pattern. A walk over pairs of nodes adds up the
-differing shared bits, and drops two whole groups as soon as these exceed k.
+mask, the shared pattern is the root of a tree over all its fingerprints, be they two or thousands: they are sorted by
+Gray rank, so that neighbours share further bits, and every FAN neighbours have a node that factors these out as a mask
+and a pattern. A walk from the root over pairs of nodes counts the differing shared bits, which only grow further down,
+and drops two whole groups as soon as they exceed k; at the leaves the count is the distance.
 
-Only distinct fingerprints are compared, so copies cost nothing. A node group links by a spanning set of links, never
-by all pairs: linked members join one class at once, and pairs of groups within one class are skipped. A pattern with
-more than CELL fingerprints is cut by Gray rank into slices, and every pair of slices is a task of its own, so nothing
-is left out and no task holds an unbounded group.
+Only distinct fingerprints are compared, so copies cost nothing. A class is told by links to its least fingerprint, never
+by all pairs, and pairs of groups within one class are skipped. A pattern with more than CELL fingerprints is cut into
+slices, and every pair of slices is a task of its own, so nothing is left out and no task holds an unbounded group.
 
 Cases: a null, empty or blank text has fingerprint zero, and such rows link like any others. Texts with fewer words
 than a shingle are one shingle. Rows with a null id take part and get the least non-null id of their component
@@ -18,6 +18,7 @@ than a shingle are one shingle. Rows with a null id take part and get the least
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +33,8 @@ from tamis.llm.shared import LOWER, chunked, kept, partitions, read, staged, str
 
 #: Fingerprints of one pattern that one task compares at most.
 CELL = 16_384
-LEAF = 32
+#: Children of a node; pairs of nodes that are walked at once; rows that a task walks at once.
+FAN, PAIRS, BATCH = 8, 1 << 15, 1 << 16
 #: Rows of large patterns that are broadcast at most; beyond it they are joined by sorting.
 LISTED = 10_000
 
@@ -119,42 +121,62 @@ class Classes:
         self.label = to[self.label]
 
 
-def link_group(fps: np.ndarray, bits: int) -> np.ndarray:
-    """Class label (the position of a member) for each of the distinct fingerprints, which are in Gray order."""
-    n, classes = len(fps), Classes(len(fps))
-    if n <= 2 * LEAF:
-        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits, 1))
-        classes.join(a, b)
-        return classes.label
-    # Bottom up: each node has the bits that all below it share, and their pattern.
-    ones, zeros, levels = fps, ~fps, []
-    width = LEAF
-    while len(ones) > 1:
-        at = np.arange(0, len(ones), width)
-        ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at)
-        levels.append((ones, ones | zeros))
-        width = 8
-    pairs = np.zeros((1, 2), np.int64)
-    for depth in range(len(levels) - 1, -1, -1):
-        pattern, mask = levels[depth]
-        if depth < len(levels) - 1:
-            size = len(pattern)
-            kids = (pairs[:, :, None] * 8 + np.arange(8)).reshape(len(pairs), 2, 8)
-            pairs = np.stack([np.repeat(kids[:, 0], 8, 1), np.tile(kids[:, 1], (1, 8))], 2).reshape(-1, 2)
-            pairs = pairs[(pairs[:, 0] <= pairs[:, 1]) & (pairs[:, 1] < size)]
-        differ = np.bitwise_count((pattern[pairs[:, 0]] ^ pattern[pairs[:, 1]]) & mask[pairs[:, 0]] & mask[pairs[:, 1]])
-        pairs = pairs[differ <= bits]
-    pairs = pairs[np.argsort(pairs[:, 1] - pairs[:, 0], kind="stable")]  # groups close in Gray order first
-    padded = np.pad(np.arange(n), (0, -n % LEAF), mode="edge").reshape(-1, LEAF)
-    for at in range(0, len(pairs), 512):
-        some = pairs[at : at + 512]
-        labels = classes.label[padded]
-        low, high = labels.min(1), labels.max(1)
-        one = (low == high)[some].all(1) & (low[some[:, 0]] == low[some[:, 1]])
-        some = some[~one]
-        left, right = padded[some[:, 0]], padded[some[:, 1]]
-        k, i, j = np.nonzero(np.bitwise_count(fps[left][:, :, None] ^ fps[right][:, None, :]) <= bits)
-        classes.join(left[k, i], right[k, j])
+def levels_of(group: np.ndarray, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The trees of all groups, leaves first: (pattern, mask, first child, behind last child) of the nodes of each level.
+
+    group and fps are in order of group and Gray rank. A node holds FAN children of one group; mask has the bits in which
+    all below it agree, pattern their values. The last level has one node a group.
+    """
+    ones, zeros = fps, ~fps
+    out = [(ones, ones | zeros, np.arange(len(fps)), np.arange(1, len(fps) + 1))]
+    while True:
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        if len(out) > 1 and new.all():
+            return out
+        place = np.arange(len(group)) - np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
+        at = np.flatnonzero(place % FAN == 0)
+        ends = np.append(at[1:], len(group))
+        ones, zeros, group = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at), group[at]
+        out.append((ones, ones | zeros, at, ends))
+
+
+def link_groups(group: np.ndarray, fps: np.ndarray, bits: int, seen: Counter | None = None) -> np.ndarray:
+    """Class label (the position of a member) of each fingerprint: members of a group link at distance <= bits.
+
+    group and fps are in order of group and Gray rank. seen: counts pairs of nodes met and dropped at each level.
+    """
+    levels, classes = levels_of(group, fps), Classes(len(fps))
+    roots = np.arange(len(levels[-1][0]))
+    stack = [(len(levels) - 1, np.stack([roots, roots], 1))]
+    while stack:
+        depth, pairs = stack.pop()
+        if len(pairs) > PAIRS:
+            stack += [(depth, pairs[PAIRS:]), (depth, pairs[:PAIRS])]
+            continue
+        _, _, first, last = levels[depth]
+        if depth == 1 and len(pairs) > 1:
+            # Groups that are one class already have nothing to add.
+            low, high = np.minimum.reduceat(classes.label, first), np.maximum.reduceat(classes.label, first)
+            pairs = pairs[~((low[pairs] == high[pairs]).all(1) & (low[pairs[:, 0]] == low[pairs[:, 1]]))]
+            if not len(pairs):
+                continue
+        left, right = pairs.T
+        n_left, n_right = last[left] - first[left], last[right] - first[right]
+        n = n_left * n_right
+        owner = np.repeat(np.arange(len(pairs)), n)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = first[left][owner] + within // n_right[owner], first[right][owner] + within % n_right[owner]
+        apart = i < j if depth == 1 else i <= j
+        i, j = i[apart], j[apart]
+        pattern, mask, _, _ = levels[depth - 1]
+        near = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]) <= bits
+        if seen is not None:
+            seen.update({("met", depth - 1): len(i), ("dropped", depth - 1): int((~near).sum())})
+        i, j = i[near], j[near]
+        if depth == 1:
+            classes.join(i, j)
+        elif len(i):
+            stack.append((depth - 1, np.stack([i, j], 1)))
     return classes.label
 
 
@@ -182,50 +204,48 @@ def link_fingerprints(distinct: DataFrame, fp: str = "fp", bits: int = 4, cell:
         rows = rows.select("fp", "mask", "pattern", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     else:
         rows = rows.select("fp", "mask", "pattern", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    cells = rows.repartition(partitions(spark), "mask", "pattern", "i", "j").sortWithinPartitions("mask", "pattern", "i", "j")
+    cells = rows.repartition(partitions(spark), "mask", "pattern", "i", "j").sortWithinPartitions("mask", "pattern", "i", "j", "fp")
+
+    def close(rows: np.ndarray) -> pa.RecordBatch | None:
+        """Links of whole cells, each from a member to the least of its class."""
+        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]
+        group, fps = np.cumsum(np.concatenate([[0], (rows[1:, :4] != rows[:-1, :4]).any(1)])), rows[:, 4].view(np.uint64)
+        size = np.bincount(group)
+        more = size[group] > 1
+        group, fps = group[more], fps[more]
+        if not len(fps):
+            return None
+        by = np.lexsort((gray_rank(fps), group))
+        group, fps = group[by], fps[by]
+        label = link_groups(group, fps, bits)
+        least = fps.view(np.int64).copy()
+        np.minimum.at(least, label, fps.view(np.int64))
+        least, own = least[label], fps.view(np.int64)
+        far = least != own
+        return pa.RecordBatch.from_pydict({"a": own[far], "b": least[far]}) if far.any() else None
 
     def run(batches):
         held: list[np.ndarray] = []
-        last = None
-
-        def close():
-            fps = np.unique(np.concatenate(held))
-            if len(fps) < 2:
-                return None
-            fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-            label = link_group(fps, bits)
-            at = np.flatnonzero(label != np.arange(len(fps)))
-            return (fps[at], fps[label[at]]) if len(at) else None
-
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("mask", "pattern", "i", "j")], 1)
-            fps = batch["fp"].to_numpy().view(np.uint64)
-            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
-            for s, e in zip(starts, [*starts[1:], len(keys)]):
-                key = tuple(keys[s])
-                if last is not None and key != last:
-                    if got := close():
-                        out.append(got)
-                    held = []
-                last = key
-                held.append(fps[s:e])
-            if out:
-                yield _pairs(out)
-                out = []
-        if held and (got := close()):
-            yield _pairs([got])
+            held.append(np.stack([batch[c].to_numpy().astype(np.int64) for c in ("mask", "pattern", "i", "j", "fp")], 1))
+            size += batch.num_rows
+            # The last cell may go on in the next batch.
+            if size < BATCH or (held[0][0, :4] == held[-1][-1, :4]).all():
+                continue
+            rows = np.concatenate(held)
+            cut = int(np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1))[-1]) + 1
+            held, size = [rows[cut:]], len(rows) - cut
+            if (got := close(rows[:cut])) is not None:
+                yield got
+        if held and (got := close(np.concatenate(held))) is not None:
+            yield got
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def _pairs(out) -> pa.RecordBatch:
-    a, b = (np.concatenate([x[k] for x in out]).view(np.int64) for k in (0, 1))
-    return pa.RecordBatch.from_pydict({"a": a, "b": b})
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, shingle: int = 4, bits: int = 4) -> DataFrame:
     """One row a document: the columns in keep, fp, fingerprint (hex) and component_id, the least id of its component."""
     keep = kept(keep if keep is not None else [doc_id], ("fp", "fingerprint", "component_id", "__fp"))

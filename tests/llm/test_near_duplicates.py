@@ -1,3 +1,4 @@
+from collections import Counter
 import random
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tamis.llm.components import components
 from tamis.llm.embeddings import near_vectors, op6_embedding_dedup, tables_for
 from tamis.llm.shared import read
-from tamis.llm.simhash import gray_rank, link_fingerprints, link_group, masks, near_duplicates, op2_simhash
+from tamis.llm.simhash import gray_rank, fingerprints, levels_of, link_fingerprints, link_groups, masks, near_duplicates, op2_simhash
 from tests.llm.conftest import union_find
 
 
@@ -83,14 +84,44 @@ def near_family(rng, n, size, spread):
     return sorted(out)
 
 
-def test_hierarchical_groups_agree_with_all_pairs():
+def all_pairs(x):
+    return union_find(range(len(x)), [(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 4) if j > i])
+
+
+def same_classes(want, got):
+    n = len(set(zip(want, got)))
+    return n == len(set(want)) == len(set(got))
+
+
+def test_trees_agree_with_all_pairs():
+    # Groups of 1, 2, 3, 9, 70 and 600 fingerprints, all of which go through trees.
     rng = random.Random(5)
-    x = np.array(near_family(rng, 30, 20, 8), np.uint64)
+    groups = [np.array(near_family(rng, k, n, 8), np.uint64) for k, n in ((1, 1), (1, 2), (1, 3), (3, 3), (7, 10), (30, 20))]
+    groups = [x[np.argsort(gray_rank(x), kind="stable")] for x in groups]
+    group, x, seen = np.repeat(np.arange(len(groups)), [len(g) for g in groups]), np.concatenate(groups), Counter()
+    levels = levels_of(group, x)
+    assert len(levels[-1][0]) == len(groups) and len(levels) == 5
+    label = link_groups(group, x, 4, seen)
+    for k, own in enumerate(groups):
+        at = np.flatnonzero(group == k)
+        want = all_pairs(own)
+        assert same_classes([want[i] for i in range(len(own))], label[at].tolist()) and set(label[at].tolist()) <= set(at.tolist())
+    assert seen["dropped", 1] > 0  # whole groups go before their members meet
+
+
+def test_the_tree_finds_all_links_of_a_table(spark):
+    docs = read(spark, "/root/testdata/sf0.1", "documents")
+    x = np.array(sorted({r.fp for r in fingerprints(docs, ["doc_id"]).select("fp").collect()})).astype(np.int64).view(np.uint64)
+    found = {r.node: r.component for r in components(link_fingerprints(spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")), "a", "b").collect()}
+    want = all_pairs(x)
+    assert same_classes([want[i] for i in range(len(x))], [found.get(int(v), int(v)) for v in x.view(np.int64)]) and len(found) > 10
+    seen = Counter()
     x = x[np.argsort(gray_rank(x), kind="stable")]
-    links = [(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 4) if j > i]
-    want = union_find(range(len(x)), links)
-    label = link_group(x, 4)
-    assert len({(want[i], int(label[i])) for i in range(len(x))}) == len(set(want.values())) == len(set(label.tolist()))
+    label = link_groups(np.zeros(len(x), np.int64), x, 4, seen)
+    want = all_pairs(x)
+    assert same_classes([want[i] for i in range(len(x))], label.tolist())
+    # One tree over the whole table prunes as it goes down.
+    assert seen["dropped", 1] > 0 and seen["met", 0] < len(x) * (len(x) - 1) // 2
 
 
 @pytest.mark.parametrize("cell", [64, 16_384])
