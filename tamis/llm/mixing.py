@@ -2,7 +2,8 @@
 
 The words of a source form one stream, document after document, packed into blocks of BLOCK words. A source of S words
 in n blocks and target T takes J = round(n T / S) blocks, at most 2 n. Each of its J slots draws an output shard at
-random, so a shard's source counts are multinomial draws given exact source totals. Slot j stands for the block at
+random, so a shard's source counts are multinomial draws given exact source totals; shard_counts() tells them, and mix()
+tells the shards that each document's words go to. Slot j stands for the block at
 position j mod n of the source's pseudorandom permutation of epoch j div n (a swap-or-not shuffle, a bijection on any
 range), so a block serves once an epoch. Slots and blocks meet in an equi-join on (source, block).
 
@@ -85,7 +86,8 @@ def block_plan(docs: DataFrame, **targets) -> tuple[DataFrame, DataFrame, DataFr
     sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
     taken = F.least(F.col("blocks") * 2, F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + F.lit(0.5))).cast("long")
     sources = sources.withColumn("slots", F.when(F.col("source_size") > 0, taken).otherwise(0))
-    docs = docs.withColumn("chunk", scramble(F.coalesce("doc_id", F.lit(0)), 7) % chunks)
+    # With the size, documents without an id or of one id spread over chunks too.
+    docs = docs.withColumn("chunk", scramble(F.coalesce("doc_id", F.lit(0)) + F.col("size") * 7919, 7) % chunks)
     joined = docs.join(sources.select(F.col("source").alias("s"), "rank", "source_size", "target"), docs["source"].eqNullSafe(F.col("s"))).drop("s")
     totals = joined.groupBy("rank", "chunk").agg(F.sum("size").alias("in_chunk"))
     totals = totals.withColumn("before", F.coalesce(F.sum("in_chunk").over(Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("in_chunk")
@@ -110,27 +112,35 @@ def block_slots(sources: DataFrame) -> DataFrame:
 
 
 def block_uses(sources: DataFrame) -> DataFrame:
-    """rank, block, uses: how many slots stand for each block (1 or 2)."""
-    return block_slots(sources).groupBy("rank", "block").agg(F.count("*").alias("uses"))
+    """rank, block, uses: how many slots stand for each block (1 or 2), and the least and the greatest of their shards."""
+    return block_slots(sources).groupBy("rank", "block").agg(F.count("*").alias("uses"), F.min("shard").alias("low"), F.max("shard").alias("high"))
+
+
+def shard_counts(sources: DataFrame) -> DataFrame:
+    """rank, shard, blocks: how many blocks of each source every output shard takes."""
+    return block_slots(sources).groupBy("rank", "shard").agg(F.count("*").alias("blocks"))
 
 
 def segments(placed: DataFrame, uses: DataFrame) -> DataFrame:
-    """One row for each used block that a document has words in: rank, chunk, at, first, words (its own), uses."""
+    """One row for each used block that a document has words in: rank, chunk, at, first, words (its own), uses, low, high."""
     parts = placed.where("size > 0").select("rank", "chunk", "at", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))).alias("block"))
     low = F.greatest(F.col("start"), F.col("block") * BLOCK)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
     # Block uses grow with the data and are never broadcast.
-    return parts.join(uses.hint("merge"), ["rank", "block"]).select("rank", "chunk", "at", (low - F.col("start")).alias("first"), (high - low).alias("words"), "uses")
+    return parts.join(uses.hint("merge"), ["rank", "block"]).select("rank", "chunk", "at", (low - F.col("start")).alias("first"), (high - low).alias("words"), "uses", "low", "high")
 
 
 def mix(docs: DataFrame, **targets) -> DataFrame:
-    """doc_id, size, source_size, target, taken for docs with doc_id, source and text."""
+    """doc_id, size, source_size, target, taken for docs with doc_id, source and text.
+
+    first_shard and last_shard: the least and the greatest output shard that takes words of the document; null for none.
+    """
     sizes = staged(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
     _, placed, uses = block_plan(sizes, **targets)
     placed = staged(placed, "placed")
-    taken = segments(placed, uses).groupBy("rank", "chunk", "at").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    taken = segments(placed, uses).groupBy("rank", "chunk", "at").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"), F.min("low").alias("first_shard"), F.max("high").alias("last_shard"))
     out = placed.join(taken.hint("merge"), ["rank", "chunk", "at"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
 def mixed_documents(docs: DataFrame, **targets) -> DataFrame:
@@ -178,7 +188,10 @@ def _sql() -> str:
         bit = _sql_scramble("greatest(x, p)", f"(key * {ROUNDS} + {r}) % 1048573")
         return f"SELECT rank, blocks, key, CASE WHEN ({bit}) % 2 = 1 THEN p ELSE x END AS x FROM (SELECT *, {p} AS p FROM ({inner}))"
 
-    walk = reduce(step, range(ROUNDS), "SELECT rank, blocks, (rank * 2 + slot // blocks) % 1048576 AS key, slot % blocks AS x FROM slots")
+    def step_keeping(inner: str, r: int) -> str:
+        return step(inner, r).replace("SELECT rank,", "SELECT rank, shard,", 1)
+
+    walk = reduce(step_keeping, range(ROUNDS), "SELECT rank, shard, blocks, (rank * 2 + slot // blocks) % 1048576 AS key, slot % blocks AS x FROM slots")
     return f"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
@@ -198,19 +211,22 @@ sources AS (
   FROM (SELECT *, (source_size + {BLOCK - 1}) // {BLOCK} AS blocks FROM targets)),
 docs AS (
   SELECT d.*, s.rank, s.source_size, s.target,
-    ({_sql_scramble('coalesce(d.doc_id, 0)', '7')}) % greatest({LEAST_CHUNKS}, ((SELECT count(*) FROM sizes) + {CHUNK_ROWS - 1}) // {CHUNK_ROWS}) AS chunk
+    ({_sql_scramble('coalesce(d.doc_id, 0) + d.size * 7919', '7')}) % greatest({LEAST_CHUNKS}, ((SELECT count(*) FROM sizes) + {CHUNK_ROWS - 1}) // {CHUNK_ROWS}) AS chunk
   FROM sizes d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
 placed AS (
   SELECT *, row_number() OVER w AS at, CAST(sum(size) OVER w AS BIGINT) - size AS start FROM docs
   WINDOW w AS (PARTITION BY rank ORDER BY chunk, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
-slots AS (SELECT rank, blocks, unnest(range(slots)) AS slot FROM sources),
+numbered AS (SELECT rank, blocks, unnest(range(slots)) AS slot FROM sources),
+slots AS (
+  SELECT *, ({_sql_scramble('slot', 'rank % 1048573')}) % greatest(1, ((SELECT sum(slots) FROM sources) + {SHARD_BLOCKS - 1}) // {SHARD_BLOCKS}) AS shard FROM numbered),
 walked AS ({walk}),
-uses AS (SELECT rank, x AS block, count(*) AS uses FROM walked GROUP BY rank, x),
+uses AS (SELECT rank, x AS block, count(*) AS uses, min(shard) AS low, max(shard) AS high FROM walked GROUP BY rank, x),
 parts AS (SELECT *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM placed WHERE size > 0),
 taken AS (
-  SELECT p.rank, p.at, sum((least(start + size, (p.block + 1) * {BLOCK}) - greatest(start, p.block * {BLOCK})) * uses) AS taken
+  SELECT p.rank, p.at, sum((least(start + size, (p.block + 1) * {BLOCK}) - greatest(start, p.block * {BLOCK})) * uses) AS taken, min(low) AS first_shard, max(high) AS last_shard
   FROM parts p JOIN uses u ON p.rank = u.rank AND p.block = u.block GROUP BY p.rank, p.at)
-SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken,
+  CAST(t.first_shard AS BIGINT) AS first_shard, CAST(t.last_shard AS BIGINT) AS last_shard
 FROM placed p LEFT JOIN taken t ON p.rank = t.rank AND p.at = t.at"""
 
 

@@ -44,6 +44,7 @@ def verify_mix(rows, docs):
     for r in rows:
         assert 0 <= r.taken <= 2 * r.size
         taken[round(r.target, 6), r.source_size] += r.taken
+        assert (r.first_shard is None) == (r.last_shard is None) == (r.taken == 0) and (not r.taken or 0 <= r.first_shard <= r.last_shard)
     for source, target in targets.items():
         same = [s for s in targets if abs(targets[s] - target) < 1e-6 and sizes[s] == sizes[source]]
         assert abs(taken[round(target, 6), sizes[source]] - target * len(same)) <= mixing.BLOCK * 1.5 * len(same), source
@@ -59,10 +60,36 @@ def duck(tmp_path=None, sf=None):
 def test_mix(spark, sf):
     rows = mixing.op4_mixing(spark, sf).collect()
     verify_mix(rows, [tuple(r) for r in read(spark, sf, "documents").select("doc_id", "source", "text").collect()])
-    assert in_order(map(tuple, rows)) == in_order(duck(sf=sf).execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.OP4_SQL})").fetchall())
+    assert in_order(map(tuple, rows)) == in_order(duck(sf=sf).execute(f"SELECT doc_id, size, source_size, target, taken, first_shard, last_shard FROM ({mixing.OP4_SQL})").fetchall())
     assert in_order(map(tuple, mixing.op4_mixing(spark, sf).collect())) == in_order(map(tuple, rows))
 
 
+def test_shards_draw_their_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 100)
+    sizes = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate([("a", 128 * 4000), ("b", 128 * 1000), (None, 128 * 3000)])], "doc_id long, source string, size long")
+    sources, placed, uses = mixing.block_plan(sizes)
+    slots = {r["rank"]: r["slots"] for r in sources.collect()}
+    drawn = defaultdict(Counter)
+    for r in mixing.shard_counts(sources).collect():
+        drawn[r["rank"]][r["shard"]] = r["blocks"]
+    shards = -(-sum(slots.values()) // 100)
+    for rank, n in slots.items():
+        # Exact totals; each shard's count is that of a fair draw.
+        assert sum(drawn[rank].values()) == n and set(drawn[rank]) <= set(range(shards))
+        assert sum((drawn[rank][k] - n / shards) ** 2 / (n / shards) for k in range(shards)) < 2 * shards
+    rows = {(r["rank"], r["block"]): (r.uses, r.low, r.high) for r in uses.collect()}
+    each = defaultdict(list)
+    for r in mixing.block_slots(sources).collect():
+        each[r["rank"], r["block"]].append(r["shard"])
+    assert rows == {k: (len(v), min(v), max(v)) for k, v in each.items()}
+
+
+def test_documents_without_an_id_spread_over_chunks(spark):
+    docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("web").alias("source"), (F.col("id") % 997).alias("size"))
+    _, placed, _ = mixing.block_plan(docs)
+    assert placed.groupBy("chunk").count().agg(F.max("count")).first()[0] < 400
+
+
 def test_mix_uses_no_python(spark, sf):
     plan = mixing.op4_mixing(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
