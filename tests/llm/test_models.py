@@ -1,7 +1,7 @@
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -118,14 +118,113 @@ def test_scores(spark, sf):
     texts, trained = dict(docs), {w for d, t in docs if not held(d, 7, 2) for w in words_of(t)}
     spelt = sum((len(w.encode()) + 1) * math.log10(257) for r in unseen for w in words_of(texts[r.doc_id]) if w not in trained)
     assert all(r.score < 0 for r in rows) and sum(r.score for r in unseen) > sum(r.base_score for r in unseen) - spelt
-    learnt = [r for r in rows if not r.held_out]
-    assert sum(r.score for r in learnt) > sum(r.base_score for r in learnt)
-    again = {r.doc_id: r.score for r in cm.op7_context_mixing(spark, sf).collect()}
+    # However rows are dealt out, scores are the same.
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        dealt = read(spark, sf, "documents").repartition(5).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (crc_mod("doc_id", 7) == 2).alias("held_out"))
+        again = {r.doc_id: r.score for r in cm.score(dealt).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert all(math.isclose(again[r.doc_id], r.score, rel_tol=1e-9) for r in rows)
     for r in rows:
         assert math.isclose(r.bits_per_byte, -r.score * math.log2(10) / max(1, len((texts[r.doc_id] or "").encode())), rel_tol=1e-9)
 
 
+def plain_model(docs, bits):
+    """Scores of docs (id, text, held_out), one decision after the other; only spelling is the library's."""
+    words = {d: [w.encode() for w in words_of(t)] for d, t, _ in docs}
+    counts = Counter(w for d, _, h in docs if not h for w in words[d])
+
+    def mix32(x, m):
+        return (x * m) & 0xFFFFFFFF
+
+    def code_of(w):
+        head, tail = w[0] << 8 | w[min(1, len(w) - 1)], w[-1] << 8 | w[max(len(w) - 2, 0)]
+        return (mix32(head, 0x9E3779B1) >> 28) << 4 | mix32(tail, 0x85EBCA6B) >> 28
+
+    def contexts(ws):
+        """For each word: the word before and the last short word, hashed."""
+        last, short, out = 0, 1, []
+        for w in ws:
+            out.append((0, mix32(last, 0x9E3779B1) >> (32 - (bits - 8)), mix32(short, 0xC2B2AE35) >> (32 - (bits - 8))))
+            last = zlib.crc32(w)
+            short = last if len(w) <= 3 else short
+        return out
+
+    seen, codes = [Counter() for _ in range(3)], Counter()
+    for d, _, h in docs:
+        for w, at in zip(words[d], contexts(words[d])):
+            if not h:
+                codes[code_of(w)] += 1
+                for k in range(3):
+                    for depth in range(8):
+                        seen[k][at[k], 1 << depth | code_of(w) >> (8 - depth), code_of(w) >> (7 - depth) & 1] += 1
+    n, once = sum(counts.values()), sum(c == 1 for c in counts.values())
+    seen[0][0, 0, 0], seen[0][0, 0, 1] = once, n - once
+    new = sorted({w for ws in words.values() for w in ws if counts[w] < 2}, key=lambda w: (zlib.crc32(w), w))
+    speller, spelt = cm.Speller(np.minimum(cm.bit_counts(list(counts)), 65_000).astype(np.uint16)), {}
+    for k in (1, 0):
+        own = [w for w in new if counts[w] == k]
+        spelt.update(zip(own, speller.learn(own, k == 1).tolist()))
+    tokens = n + sum(not h for _, _, h in docs)
+    end, out = sum(not h for _, _, h in docs) / tokens, {}
+    for d, _, h in docs:
+        weights, scale = defaultdict(lambda: list(cm.START)), defaultdict(lambda: 1.0)
+        own, total, ws = Counter(), 0.0, words[d]
+        places, begin, block = contexts(ws), 0, 32
+        while begin < len(ws):
+            slopes, times, turns, later = defaultdict(lambda: [0.0] * 5), Counter(), Counter(), []
+            for w, at in zip(ws[begin : begin + block], places[begin : begin + block]):
+                left = counts[w] - (not h)
+                known, code = int(left > 0), code_of(w)
+                for step in range(1 + 8 * known):
+                    node, bit = (0, known) if not step else (1 << (step - 1) | code >> (9 - step), code >> (8 - step) & 1)
+                    x = []
+                    for k in range(3):
+                        zero, one = (seen[k][at[k], node, b] - (not h and b == bit) for b in (0, 1))
+                        x.append(0.0 if k and not step else max(-127, min(127, np.rint(12 * math.log((max(one, 0) + 0.4) / (max(zero, 0) + 0.4))))) / 12)
+                    x += [math.log((own[node, 1] + 0.4) / (own[node, 0] + 0.4)), 0.3]
+                    held_n = seen[1][at[1], node, 0] + seen[1][at[1], node, 1]
+                    chosen = step, 0 if not step else (held_n > 2) + (held_n > 40)
+                    mixed = max(-12, min(12, sum(a * b for a, b in zip(weights[chosen], x))))
+                    p, final = (1 / (1 + math.exp(-y)) for y in (mixed, scale[step] * mixed))
+                    total += math.log10(final if bit else 1 - final)
+                    for k in range(5):
+                        slopes[chosen][k] += (bit - p) * x[k]
+                    times[chosen] += 1
+                    turns[step] += (bit - final) * mixed
+                for step in range(9):
+                    later.append((0, known) if not step else (1 << (step - 1) | code >> (9 - step), code >> (8 - step) & 1))
+                total += math.log10(left / (codes[code] - (not h))) if known else spelt[w]
+            for chosen in times:
+                weights[chosen] = [a + cm.STEP * b / (times[chosen] + cm.STEADY) for a, b in zip(weights[chosen], slopes[chosen])]
+            for step in turns:
+                scale[step] += 0.2 * turns[step] / (sum(v for (s, _), v in times.items() if s == step) + 24)
+            own.update(later)
+            begin, block = begin + block, block if not begin else 2 * block
+        out[d] = total + len(ws) * math.log10(1 - end) + math.log10(end)
+    return out
+
+
+def test_scores_agree_with_one_decision_after_the_other(spark, sf):
+    texts = [r.text for r in read(spark, sf, "documents").orderBy("doc_id").limit(40).collect()]
+    docs = [(k, t, k % 5 == 2) for k, t in enumerate([*texts, texts[3], "", None, "word word word new", "x"])]
+    df = spark.createDataFrame([(k, t or "", h) for k, t, h in docs], "doc_id long, text string, held_out boolean")
+    want = plain_model(docs, cm.table_bits(sum(len((t or "").encode()) for _, t, _ in docs)))
+    for r in cm.score(df).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=2e-5), r
+
+
+def test_words_in_another_order_score_otherwise(spark, sf):
+    texts = [r.text for r in read(spark, sf, "documents").orderBy("doc_id").limit(60).collect()]
+    probe = max(texts, key=lambda t: len(t or "") if len(t or "") < 3000 else 0)
+    other = " ".join(sorted(words_of(probe)))
+    rows = [(k, t or "", False) for k, t in enumerate(texts)] + [(100, probe, True), (101, other, True)]
+    got = {r.doc_id: r.score for r in cm.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    assert got[100] > got[101] + 5
+
+
 def test_scores_of_odd_rows(spark, odd_docs, no_docs):
     def asked(df):
         return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (crc_mod("doc_id", 7) == 2).alias("held_out"))
