@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tamis.llm.shared import byte_table, chunked, crc_mod, kept, read, split_words, strings, sums_by_text, translated
 
-#: Most labelled rows that the n-gram models are fitted on: the rows with the smallest hashes.
-FIT_ROWS = 20_000
+#: Labelled texts that the n-gram model of one language is fitted on, about, and the languages that are learnt at most.
+FIT_ROWS, MOST_LANGS = 10_000, 1_000
 BITS = 16
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>, n_words long"
 #: Letters and bytes of longer code points; everything else parts words.
@@ -49,16 +49,20 @@ def prepared(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, most_langs: int = MOST_LANGS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log probabilities of hashed trigrams given their first two bytes, for each of them.
 
-    docs: columns text and lang. The counts are summed on the executors into one bounded table for each task.
+    docs: columns text and lang. Each language learns from about fit_rows distinct texts, those with the least hashes,
+    or all if it has fewer, so that neither a large language nor many copies of a text crowd out others. The most_langs
+    languages with the most distinct texts are learnt. The counts are summed on the executors into one bounded table for each task.
     """
     docs = docs.where("text is not null and lang is not null").select("text", "lang")
-    n = docs.count()
-    if n > fit_rows:
-        share = int(fit_rows / n * 2**32)
-        docs = docs.where((F.xxhash64("text").bitwiseAND(2**32 - 1)) < share)
+    sizes = docs.select("lang", F.xxhash64("text")).distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    shares = [(r.lang, int(min(1.0, fit_rows / r.n) * 2**32)) for r in sizes.collect()]
+    if shares:
+        share = docs.sparkSession.createDataFrame(shares, "l string, share long")
+        docs = docs.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.xxhash64("text").bitwiseAND(2**32 - 1) < F.col("share")).select("text", "lang")
+    docs = docs.distinct()
     size = 1 << BITS
 
     def counts(batches):

@@ -77,6 +77,17 @@ def test_languages_of_odd_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in li.identify(odd_docs, nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_a_small_language_and_a_hot_text_are_learnt_alike(spark, sf):
+    rows = [(r.text, r.lang) for r in read(spark, sf, "documents").where("lang is not null").collect()]
+    rare = [("zzq xqz qqx zxq " * 5 + f"qz{k}", "rare") for k in range(3)]
+    df = spark.createDataFrame(rows * 20 + [rows[0]] * 3000 + rare, "text string, lang string")
+    langs, logs = li.fit(df, fit_rows=30)
+    assert "rare" in langs
+    got = li.identify(spark.createDataFrame([("zzq xqz qqx",), (rows[0][0],)], "text string"), (langs, logs)).collect()
+    assert [r.lang_pred for r in got] == ["rare", rows[0][1]]
+    assert li.fit(df, fit_rows=30, most_langs=2)[0] == sorted(x for x, _ in Counter(lang for _, lang in set(rows)).most_common(2))
+
+
 # ---- context mixing ----
 
 
