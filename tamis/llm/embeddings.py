@@ -1,7 +1,7 @@
 """Embedding near-duplicates by random-hyperplane sign hashing in several tables.
 
 Equal vectors of a label are one class with a weight. Every class hashes into each table by the signs of its products
-with fixed random hyperplanes; classes that meet in a bucket are compared by exact cosine in double precision, block
+with fixed random hyperplanes, once, and carries these; classes that meet in a bucket are compared by exact cosine in double precision, block
 by block, and a pair counts in the first table where it meets. The number of tables follows from the wanted recall of
 a pair exactly at the threshold. Buckets above CELL are cut into slices, and every pair of slices is a task of its
 own. A task returns, for each class, the weight it links to and at most one link that ties it to its class leader:
@@ -9,7 +9,8 @@ never all pairs. Components come from components().
 
 Cases: vectors that are null, of length zero, all zero, or hold a null or non-finite component link with nothing, as
 do rows with a null label; vectors of different lengths never link. Repeated rows count as vectors of their own. A row
-with a null vec_id takes part and gets the least non-null id of its component. An empty table gives no rows.
+with a null vec_id takes part and gets the least non-null id of its component. Labels of any type are compared as they are, but
+for whole numbers by 64-bit hashes while vectors meet. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamis.llm.components import components
 from tamis.llm.shared import partitions, read, staged
@@ -43,6 +45,15 @@ def signatures(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
     return (signs.reshape(len(x), tables, bits).astype(np.int64) << np.arange(bits)).sum(2)
 
 
+def by_length(vectors: pa.Array):
+    """(rows, their vectors as an array) for each length, from a column of lists without nulls."""
+    ends = vectors.offsets.to_numpy()
+    flat, sizes = vectors.values.to_numpy(zero_copy_only=False), np.diff(ends)
+    for dim in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dim)
+        yield at, flat[ends[at][:, None] + np.arange(dim)].astype(np.float64)
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999, cell: int = CELL, seed: int = 7) -> DataFrame:
     """vectors: vec_id, embedding, label. Rows vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -52,6 +63,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999
     sound = vectors.where(F.coalesce(fit, F.lit(False))).withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, x * 0 + F.lit(0).cast("float")).otherwise(x).cast("double")))
     sound = sound.withColumn("key", F.xxhash64("label", "embedding"))
     classes = sound.groupBy("key", "label", "embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    whole = isinstance(vectors.schema["label"].dataType, T.IntegralType)
+    classes = classes.withColumn("label_key", F.col("label").cast("long") if whole else F.xxhash64("label"))
     classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     n = classes.count()
     bits = min(24, max(8, math.ceil(math.log2(max(1, n / 1024)))))
@@ -59,23 +72,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999
 
     def hashed(batches):
         for batch in batches:
-            rows = batch["embedding"].to_pylist()
-            sizes = np.array([len(r) for r in rows])
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                sigs = signatures(np.array([rows[i] for i in at], np.float64), bits, tables, seed)
+            for at, x in by_length(batch["embedding"]):
+                sigs = signatures(x, bits, tables, seed)
+                each = {"rep": batch["rep"].take(pa.array(at)), "label": batch["label_key"].take(pa.array(at)), "dim": np.full(len(at), x.shape[1], np.int32), "sigs": pa.array([r.tobytes() for r in sigs.astype("<i4")], pa.binary())}
                 for t in range(tables):
-                    yield pa.RecordBatch.from_pydict({"rep": batch["rep"].take(pa.array(at)), "label": batch["label"].take(pa.array(at)).cast(pa.int64()), "dim": np.full(len(at), dim, np.int32), "t": np.full(len(at), t, np.int32), "sig": sigs[:, t]})
+                    yield pa.RecordBatch.from_pydict(each | {"t": np.full(len(at), t, np.int32), "sig": sigs[:, t]})
 
     key = ["label", "dim", "t", "sig"]
-    met = classes.select("rep", "label", "embedding").mapInArrow(hashed, "rep long, label long, dim int, t int, sig long")
+    met = classes.select("rep", "label_key", "embedding").mapInArrow(hashed, "rep long, label long, dim int, sigs binary, t int, sig long")
     met = staged(met, "buckets")
     sizes = met.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
     sizes = sizes.select(*key, F.when(F.col("members") > cell, F.ceil(F.col("members") / (cell // 2))).otherwise(1).cast("int").alias("slices"))
     met = met.join(sizes, key)  # lone members end here
     own = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
     met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    met = met.select(*key, "rep", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = met.select(*key, "rep", "sigs", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     met = met.join(classes.select("rep", "embedding", "weight"), "rep")
     cells = met.repartition(partitions(spark), *key, "i", "j").sortWithinPartitions(*key, "i", "j")
 
@@ -84,12 +95,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999
 
         def close():
             whole = pa.concat_tables(held).combine_chunks()
-            x = np.array(whole["embedding"].to_pylist(), np.float64)
+            x = np.concatenate([v for _, v in by_length(whole["embedding"].chunk(0))])  # of one length, so in order
             rep, own, weight = (whole[c].to_numpy() for c in ("rep", "own", "weight"))
             t, (i, j) = last[2], last[4:]
             x /= np.abs(x).max(1, keepdims=True)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
-            sigs = signatures(x, bits, tables, seed)
+            sigs = np.frombuffer(b"".join(whole["sigs"].to_pylist()), "<i4").reshape(len(x), -1)
             groups, linked = Classes(len(x)), np.zeros(len(x), np.int64)
             a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
             for s in range(0, len(a), 512):
@@ -125,7 +136,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999
             yield got
 
     # The same pair of a slice with itself is met once; a class in several cells adds up.
-    found = staged(cells.select(*key, "i", "j", "rep", "own", "embedding", "weight").mapInArrow(compare, "rep long, links long, leader long"), "near")
+    found = staged(cells.select(*key, "i", "j", "rep", "sigs", "own", "embedding", "weight").mapInArrow(compare, "rep long, links long, leader long"), "near")
     groups = components(found, "rep", "leader").withColumnsRenamed({"node": "rep"})
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reps = classes.select("rep", "key", "label", "embedding", "weight", "least").join(counts, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))

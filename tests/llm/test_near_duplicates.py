@@ -249,3 +249,9 @@ def test_sets_and_prints_in_slices(spark, monkeypatch):
     rows = [(k, " ".join(base[:k] + ["x"] + base[k + 1 :])) for k in range(40)] + [(k + 100, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(20)]
     got = {r.doc_id: r.component_id for r in similar.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_similar(rows)
+
+
+def test_labels_may_be_texts(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.001], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    assert {tuple(r)[:3] for r in near_vectors(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)}
