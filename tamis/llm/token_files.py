@@ -34,6 +34,8 @@ from xxhash import xxh3_64_intdigest
 from tamis.llm.shared import Runs, chunked, new_folder, partitions, read, staged, strings
 
 MAGIC, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = b"TAMSST01", 1 << 16, 10, 7
+#: Ids that a shard takes about; a document stays whole.
+SHARD_TOKENS = 1 << 25
 #: Texts where white space meets a space, or one stands at an end: these are encoded whole.
 SPACED = r" [\s\pZ\x{85}\x0b]|[\s\pZ\x{85}\x0b] |^ | $"
 
@@ -73,7 +75,9 @@ def encode_texts(model: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ids = np.concatenate([np.array(e.ids, np.int32) for e in t.encode_batch_fast(many, add_special_tokens=False)])
         sizes = np.diff(np.append(np.flatnonzero(spaced[ids]), len(ids)))
         if len(sizes) != len(words):
-            raise ValueError("words and encoded words differ in number")
+            # The model parts words at other places than spaces: each word for itself.
+            each = [np.array(e.ids, np.int32) for e in t.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
         return ids, sizes
 
     ids, word_first, sizes = known.of(coded.dictionary, encode)
@@ -250,8 +254,11 @@ def place(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write_tokens(docs: DataFrame, folder: str, model: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes shards into folder (a URI that all executors reach). One row a shard: shard, path, n_docs, n_tokens."""
+def write_tokens(docs: DataFrame, folder: str, model: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Writes shards into folder (a URI that all executors reach). One row a shard: shard, path, n_docs, n_tokens.
+
+    A task starts a new shard once one has shard_tokens ids, so that index and filter of a shard stay small.
+    """
     spark = docs.sparkSession
     with open(model or vocabulary_path(), encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())  # a megabyte and a half
@@ -263,22 +270,30 @@ def write_tokens(docs: DataFrame, folder: str, model: str | None = None, end_id:
     def run(batches):
         model, writer, task = sent.value, None, TaskContext.get()
         t, *_ = tokenizer(model)
-        shard = task.partitionId()
         system, top = place(folder)
-        final = f"{top}/shard-{shard:06d}.sst"
-        temporary = f"{final}.{task.taskAttemptId()}.tmp"
+        part = 0
+
+        def name() -> str:
+            return f"shard-{task.partitionId():06d}-{part:06d}.sst"
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            system.move(f"{top}/{name()}.{task.taskAttemptId()}.tmp", f"{top}/{name()}")
+            return pa.RecordBatch.from_pydict({"shard": np.array([task.partitionId() << 32 | part]), "path": [f"{folder}/{name()}"], "n_docs": np.array([writer.docs]), "n_tokens": np.array([writer.tokens])})
+
         for table in chunked(batches, 20 << 20):
-            if writer is None:
-                writer = Writer(system.open_output_stream(temporary), 2 if t.get_vocab_size() <= 1 << 16 else 4)
             ids, sizes = encode_texts(model, strings(table["text"]))
             at = 0
             for doc, size in zip(table["doc_id"].to_pylist(), sizes.tolist()):
+                if writer is None:
+                    writer = Writer(system.open_output_stream(f"{top}/{name()}.{task.taskAttemptId()}.tmp"), 2 if t.get_vocab_size() <= 1 << 16 else 4)
                 writer.add(key_of(doc), np.append(ids[at : at + size], end_id))
                 at += size
+                if writer.tokens >= shard_tokens:
+                    yield closed()
+                    writer, part = None, part + 1
         if writer is not None:
-            writer.close()
-            system.move(temporary, final)
-            yield pa.RecordBatch.from_pydict({"shard": np.array([shard]), "path": [f"{folder}/shard-{shard:06d}.sst"], "n_docs": np.array([writer.docs]), "n_tokens": np.array([writer.tokens])})
+            yield closed()
 
     return staged(dealt.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"), "shards")
 
