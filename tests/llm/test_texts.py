@@ -139,6 +139,20 @@ def test_token_files_of_odd_rows(spark, odd_docs, no_docs):
     got = tf.read_tokens(shards).select("doc_id", "start", (F.length("ids") / 4).cast("long"), F.crc32("ids")).collect()
     assert in_order(map(tuple, got)) == in_order(plain_tokens([tuple(r) for r in odd_docs.select("doc_id", "text").collect()]))
     assert tf.read_tokens(tf.write_tokens(no_docs, new_folder(spark, "none"))).count() == 0
+    small = tf.write_tokens(odd_docs, new_folder(spark, "small"), shard_tokens=50)
+    assert small.count() > shards.count()
+    rolled = tf.read_tokens(small).select("doc_id", "start", (F.length("ids") / 4).cast("long"), F.crc32("ids")).collect()
+    assert in_order(map(tuple, rolled)) == in_order(map(tuple, got))
+
+
+def test_words_that_a_model_parts_elsewhere(monkeypatch):
+    model = open(tf.vocabulary_path(), encoding="utf-8").read()
+    texts = pa.array(["one two three", "four  five", ""], pa.large_string())
+    want = tf.encode_texts(model, texts)
+    t, spaced, _ = tf.tokenizer(model)
+    monkeypatch.setattr(tf, "tokenizer", lambda m: (t, np.ones_like(spaced), tf.Runs()))  # every id seems to begin a word
+    got = tf.encode_texts(model, texts)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
 
 
 def test_shards_answer_lookups(spark, tmp_path):
@@ -225,6 +239,51 @@ def test_files_with_several_notices_keep_all_labels(spark):
         assert {notices[i][0] for i in picks[r.doc_id]} <= set(r.labels.split(",")) and r.score == 1
 
 
+def plain_labels(text):
+    """Labels by trying every template at every place, with a full table of longest rows of words."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out = set(filter(None, plain_base(text)[4].split(",")))
+    for label, phrases, t in licenses.TEMPLATES:
+        t = t.split()
+        if all(f" {p} " in f" {' '.join(words)} " for p in phrases):
+            for start in range(-len(t), len(words)):
+                low, high = max(0, start), min(len(words), start + len(t) + licenses.DRIFT)
+                row = [0] * (len(t) + 1)
+                for p in range(low, high):
+                    new = row[:]
+                    for q in range(len(t)):
+                        hit = words[p] == t[q] and 0 <= p - q - start <= licenses.DRIFT
+                        new[q + 1] = max(new[q], row[q + 1], row[q] + 1 if hit else 0)
+                    row = new
+                if row[-1] >= licenses.COVER * len(t):
+                    out.add(label)
+    return ",".join(sorted(out))
+
+
+def test_labels_agree_with_every_template_at_every_place(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for label, _, t in licenses.TEMPLATES:
+        for n in range(4):
+            words = t.split()
+            for _ in range(n * max(1, len(words) // 12)):
+                k = int(rng.integers(0, len(words) + 1))
+                words = words[:k] + ["inserted"] + words[k:] if rng.random() < 0.5 else words[:k] + words[k + 1 :]
+            texts.append("code before " + " ".join(words) + " code behind")
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    got = {r.doc_id: r.labels for r in rows}
+    # A mandatory phrase may stand beside the stretch only in texts that this test doesn't make.
+    assert got == {k: plain_labels(t) for k, t in enumerate(texts)}
+    assert sum(1 for g in got.values() if g) > len(texts) // 2
+
+
+def test_an_inserted_word_shifts_nothing(spark):
+    notice = next(t for label, _, t in licenses.TEMPLATES if label == "bsd").split()
+    texts = [" ".join([*notice[:12], "extra", "words", *notice[12:]]), " ".join(notice[:14] + notice[15:])]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in rows] == [("bsd", 1.0), ("bsd", (len(notice) - 1) / len(notice))]
+
+
 def test_document_frequencies(spark, odd_docs):
     index = licenses.Index()
     df, n = licenses.document_frequencies(odd_docs)
