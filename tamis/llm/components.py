@@ -29,7 +29,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, component) for every node with a link: component is the least node it can reach."""
-    links = staged(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("a > b").distinct(), "links")
+    links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("a > b").distinct()
+    # Where nodes have links to many heads, a small star first leaves each node one, and links between heads.
+    links = staged(_star(links, False), "links")
     seen = None
     while True:
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()

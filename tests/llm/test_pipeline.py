@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -106,3 +107,29 @@ def test_repeated_ids_are_no_duplicates(spark, no_docs):
     kept = Counter((r.doc_id, r.text) for r in pipeline.one_of_each(spark, docs, "").collect())
     either = kept.pop((1, long[1]), 0) + kept.pop((1, long[1] + " z"), 0)
     assert either == 1 and kept == Counter([(1, long[0]), (2, long[2]), (None, "only this"), (3, None)])
+
+
+def test_slices_of_a_large_component_tell_few_links(spark, monkeypatch):
+    from tamis.llm import similar
+
+    monkeypatch.setattr(similar, "TEXTS", 8)
+    monkeypatch.setattr(similar, "CELL", 16)
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(400)] = f"x{rng.random()}"
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, " ".join(f"{k}y{n}" for n in range(50))) for k in range(5)]
+    told, real = [], similar.components
+
+    def counted(df, a, b):
+        told.append(df.distinct().count())
+        return real(df, a, b)
+
+    monkeypatch.setattr(similar, "components", counted)
+    got = {r.doc_id: r.component_id for r in similar.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {d for d, _ in kept_of_groups(rows)}
+    assert {d for d, c in got.items() if d == c} == kept and told[1] <= 60 + (60 // 4 + 1) ** 2
