@@ -164,20 +164,20 @@ class Engine:
         if batch is not None and self.store.state().has(batch):
             return None
         partition = F.lit("") if self.config.partition is None else F.coalesce(self.config.partition(df).cast("string"), F.lit(""))
-        rows = df.select(partition.alias("partition_id"), text.alias("row_json"), paths.alias("paths"), leaves.alias("leaves"), ranges.alias("ranges"))
-        rows = rows.withColumn("bytes", F.octet_length("row_json").cast("long") + 4)
         segment = self.store.new_segment()
         try:
-            size = rows.limit(self.SIZED_ROWS).agg(F.avg("bytes")).first()[0]
+            size = df.limit(self.SIZED_ROWS).agg(F.avg(F.octet_length(text).cast("long") + 4)).first()[0]
             if size is None:
                 if batch is not None:
                     self.store.commit(batch=batch)
                 return None
             per_block = max(1, min(self.config.max_block_rows, int(self.config.max_block_bytes / size)))
-            # Adaptive execution deals partitions out by size, splits the large ones and gathers the small ones.
-            dealt = rows.hint("rebalance", "partition_id").sortWithinPartitions("partition_id")
+            # Adaptive execution deals partitions out by size, splits the large ones and gathers the small ones. Rows move
+            # as they came in; what is several times their size is made where they end up.
+            dealt = df.withColumn("__partition", partition).hint("rebalance", "__partition").sortWithinPartitions("__partition")
             place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-            return self._publish(segment, dealt.withColumn("block", F.floor(place / per_block)), list(self.config.minmax), batch=batch)
+            rows = dealt.select(F.col("__partition").alias("partition_id"), F.floor(place / per_block).alias("block"), text.alias("row_json"), paths.alias("paths"), leaves.alias("leaves"), ranges.alias("ranges"))
+            return self._publish(segment, rows.withColumn("bytes", F.octet_length("row_json").cast("long") + 4), list(self.config.minmax), batch=batch)
         except Exception as e:
             self.store.drop_segment(segment)
             if "REFUSED " in str(e):

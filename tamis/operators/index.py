@@ -46,10 +46,10 @@ def words(tokenizer: Tokenizer | None) -> Column:
 
 
 def entries() -> list[Column]:
-    """Distinct hashes of a row with a column `words`, for each of FILTERS."""
+    """Hashes of a row with a column `words`, for each of FILTERS; workers keep the distinct ones."""
     tokens = F.flatten(F.transform("words", lambda w: F.transform(w["tokens"], lambda t: F.xxhash64(t))))
     pairs = F.flatten(F.transform("words", lambda w: F.transform(w["tokens"], lambda t: F.xxhash64(w["path"], t))))
-    return [F.array_distinct(F.transform("paths", lambda p: F.xxhash64(p))).alias("fields"), F.array_distinct(tokens).alias("tokens"), F.array_distinct(pairs).alias("pairs")]
+    return [F.transform("paths", lambda p: F.xxhash64(p)).alias("fields"), tokens.alias("tokens"), pairs.alias("pairs")]
 
 
 def _distinct(column: pa.Array) -> np.ndarray:
