@@ -149,3 +149,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of a label, and reachability over their links.
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER () AS k FROM embeddings),
+sound AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.k AS a, b.k AS b FROM sound a JOIN sound b ON a.label = b.label AND a.k <> b.k
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.98 ELSE false END),
+reach AS (SELECT a AS k, b AS r FROM links UNION SELECT reach.k, links.b FROM reach JOIN links ON reach.r = links.a),
+least AS (SELECT reach.k, min(v.vec_id) AS component_id FROM reach JOIN v ON reach.r = v.k GROUP BY reach.k),
+degree AS (SELECT a AS k, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(vec_id = coalesce(component_id, vec_id), false) AS kept
+FROM v LEFT JOIN degree ON v.k = degree.k LEFT JOIN least ON v.k = least.k"""

@@ -9,4 +9,4 @@ QUERIES = {f.__name__: f for f in (
     embeddings.op6_embedding_dedup, context_mixing.op7_context_mixing, fingerprints.op8_fingerprints, token_files.op9_token_files,
     licenses.op10_license_scan)}
 
-ORACLES = {"op4_mixing": mixing.OP4_SQL, "op5_chat_format": chat.OP5_SQL}
+ORACLES = {"op4_mixing": mixing.OP4_SQL, "op5_chat_format": chat.OP5_SQL, "op6_embedding_dedup": embeddings.OP6_SQL}

@@ -30,8 +30,10 @@ SPLIT_ONLY = bytes(32 if c in _SPACE else c for c in range(256))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one on one machine; on a cluster that is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = getattr(spark, "_tamis_shared", None)
         if not base:
