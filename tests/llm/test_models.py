@@ -154,6 +154,10 @@ def plain_model(docs, bits):
         head, tail = w[0] << 8 | w[min(1, len(w) - 1)], w[-1] << 8 | w[max(len(w) - 2, 0)]
         return (mix32(head, 0x9E3779B1) >> 28) << 4 | mix32(tail, 0x85EBCA6B) >> 28
 
+    def wins_tie(w, others):
+        own = {x: mix32(zlib.crc32(x), 0x85EBCA6B) >> 16 for x, c in others.items() if c == others[w]}
+        return own[w] == min(own.values())
+
     def contexts(ws):
         """For each word: the word before and the last short word, hashed."""
         last, short, out = 0, 1, []
@@ -171,6 +175,10 @@ def plain_model(docs, bits):
                 for k in range(3):
                     for depth in range(8):
                         seen[k][at[k], 1 << depth | code_of(w) >> (8 - depth), code_of(w) >> (7 - depth) & 1] += 1
+    after = defaultdict(Counter)
+    for d, _, h in docs:
+        for k in range(3, len(words[d])):
+            after[tuple(words[d][k - 3 : k])][words[d][k]] += not h
     n, once = sum(counts.values()), sum(c == 1 for c in counts.values())
     seen[0][0, 0, 0], seen[0][0, 0, 1] = once, n - once
     new = sorted({w for ws in words.values() for w in ws if counts[w] < 2}, key=lambda w: (zlib.crc32(w), w))
@@ -186,9 +194,29 @@ def plain_model(docs, bits):
         places, begin, block = contexts(ws), 0, 32
         while begin < len(ws):
             slopes, times, turns, later = defaultdict(lambda: [0.0] * 5), Counter(), Counter(), []
-            for w, at in zip(ws[begin : begin + block], places[begin : begin + block]):
+            for place, (w, at) in enumerate(zip(ws[begin : begin + block], places[begin : begin + block]), begin):
                 left = counts[w] - (not h)
                 known, code = int(left > 0), code_of(w)
+                others = Counter(after[tuple(ws[place - 3 : place])]) if place >= 3 else Counter()
+                others[w] -= not h
+                most, hit = max(others.values(), default=0), 0
+                if most > 0:
+                    rivals = max((c for x, c in others.items() if x != w), default=0)
+                    hit = int(others[w] > rivals or h and others[w] == rivals > 0 and wins_tie(w, others))
+                    all_ = sum(others.values())
+                    surety = 3 if most < all_ else 2 if all_ > 3 else 1 if all_ > 1 else 0
+                    chosen, odds = (9, surety), cm.FOLLOWS[surety] / cm.START[0]
+                    mixed = max(-12, min(12, weights[chosen][0] * odds + 0.3 * weights[chosen][4]))
+                    p, final = (1 / (1 + math.exp(-y)) for y in (mixed, scale[9] * mixed))
+                    total += math.log10(final if hit else 1 - final)
+                    slopes[chosen][0] += (hit - p) * odds
+                    slopes[chosen][4] += (hit - p) * 0.3
+                    times[chosen] += 1
+                    turns[9] += (hit - final) * mixed
+                for step in range(9):
+                    later.append((0, known) if not step else (1 << (step - 1) | code >> (9 - step), code >> (8 - step) & 1))
+                if hit:
+                    continue
                 for step in range(1 + 8 * known):
                     node, bit = (0, known) if not step else (1 << (step - 1) | code >> (9 - step), code >> (8 - step) & 1)
                     x = []
@@ -205,8 +233,6 @@ def plain_model(docs, bits):
                         slopes[chosen][k] += (bit - p) * x[k]
                     times[chosen] += 1
                     turns[step] += (bit - final) * mixed
-                for step in range(9):
-                    later.append((0, known) if not step else (1 << (step - 1) | code >> (9 - step), code >> (8 - step) & 1))
                 total += math.log10(left / (codes[code] - (not h))) if known else spelt[w]
             for chosen in times:
                 weights[chosen] = [a + cm.STEP * b / (times[chosen] + cm.STEADY) for a, b in zip(weights[chosen], slopes[chosen])]
@@ -227,6 +253,24 @@ def test_scores_agree_with_one_decision_after_the_other(spark, sf):
         assert math.isclose(r.score, want[r.doc_id], rel_tol=2e-5), r
 
 
+def test_a_text_that_occurs_twice_is_cheap(spark, sf):
+    texts = [r.text for r in read(spark, sf, "documents").orderBy("doc_id").collect()]
+    sole = [t for t, n in Counter(texts).items() if n == 1 and t and len(t) > 600]
+    rows = [(k, t, False) for k, t in enumerate([*sole, sole[5], sole[9]])]
+    got = {r.doc_id: r.bits_per_byte for r in cm.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    assert max(got[k] for k in (5, 9, len(sole), len(sole) + 1)) < 0.6 * sorted(got.values())[len(got) // 2]
+
+
+def test_what_follows(spark):
+    def pairs(*rows):
+        return np.array([a << 16 | b for a, b, _ in rows], np.uint64), np.array([n for _, _, n in rows])
+
+    # (context, follower, times): alone, twice, a tie, a majority, only in held-out texts, and several.
+    codes = cm.follow_codes(*pairs((1, 1, 1), (2, 1, 2), (3, 1, 1), (3, 2, 1), (4, 1, 3), (4, 2, 1), (5, 1, 0), (6, 1, 9), (7, 1, 5), (7, 2, 0)))
+    assert [int(c & 15) for c in codes] == [0, 1, 5, 5, 4, 6, 0, 3, 3, 0]
+    assert [int(c >> 4) for c in codes] == [1, 2, 4, 8, 4, 8, 0, 3, 3, 7]
+
+
 def test_words_in_another_order_score_otherwise(spark, sf):
     texts = [r.text for r in read(spark, sf, "documents").orderBy("doc_id").limit(60).collect()]
     probe = max(texts, key=lambda t: len(t or "") if len(t or "") < 3000 else 0)
