@@ -58,6 +58,7 @@ def on(name: str, source: str, asked: Query, sql: str, **options) -> None:
 
 on("field_token_events", "events", query().field_token("event_type", "error").build(), f"SELECT * FROM events WHERE {sql_has('event_type', 'error')}")
 on("field_token_number", "lineitem", query().field_token("l_partkey", "42").build(), "SELECT * FROM lineitem WHERE l_partkey = 42")
+on("field_token_lineitem", "lineitem", query().field_token("l_returnflag", "r").build(), f"SELECT * FROM lineitem WHERE {sql_has('l_returnflag', 'r')}")
 on("field_token_double", "lineitem", query().field_token("l_quantity", "17").field_token("l_tax", "0.05").build(), f"SELECT * FROM lineitem WHERE {sql_double('l_quantity')} = '17' AND {sql_double('l_tax')} = '0.05'")
 on("nested_field_token", "events", query().field_token("props.k", "42").build(), "SELECT * FROM events WHERE json_extract_string(props, '$.k') = '42'", json_columns=("props",))
 on("field_exists", "events", query().field("props.k").build(), "SELECT * FROM events WHERE json_exists(props, '$.k')", json_columns=("props",))
