@@ -144,6 +144,7 @@ def test_scores(spark, sf):
 
 def plain_model(docs, bits):
     """Scores of docs (id, text, held_out), one decision after the other; only spelling is the library's."""
+    size = cm.CODE
     words = {d: [w.encode() for w in words_of(t)] for d, t, _ in docs}
     counts = Counter(w for d, _, h in docs if not h for w in words[d])
 
@@ -152,7 +153,7 @@ def plain_model(docs, bits):
 
     def code_of(w):
         head, tail = w[0] << 8 | w[min(1, len(w) - 1)], w[-1] << 8 | w[max(len(w) - 2, 0)]
-        return (mix32(head, 0x9E3779B1) >> 28) << 4 | mix32(tail, 0x85EBCA6B) >> 28
+        return (mix32(head, 0x9E3779B1) >> 32 - size // 2) << size // 2 | mix32(tail, 0x85EBCA6B) >> 32 - size // 2
 
     def wins_tie(w, others):
         own = {x: mix32(zlib.crc32(x), 0x85EBCA6B) >> 16 for x, c in others.items() if c == others[w]}
@@ -162,7 +163,7 @@ def plain_model(docs, bits):
         """For each word: the word before and the last short word, hashed."""
         last, short, out = 0, 1, []
         for w in ws:
-            out.append((0, mix32(last, 0x9E3779B1) >> (32 - (bits - 8)), mix32(short, 0xC2B2AE35) >> (32 - (bits - 8))))
+            out.append((0, mix32(last, 0x9E3779B1) >> (32 - (bits - size)), mix32(short, 0xC2B2AE35) >> (32 - (bits - size))))
             last = zlib.crc32(w)
             short = last if len(w) <= 3 else short
         return out
@@ -173,8 +174,8 @@ def plain_model(docs, bits):
             if not h:
                 codes[code_of(w)] += 1
                 for k in range(3):
-                    for depth in range(8):
-                        seen[k][at[k], 1 << depth | code_of(w) >> (8 - depth), code_of(w) >> (7 - depth) & 1] += 1
+                    for depth in range(size):
+                        seen[k][at[k], 1 << depth | code_of(w) >> (size - depth), code_of(w) >> (size - 1 - depth) & 1] += 1
     after = defaultdict(Counter)
     for d, _, h in docs:
         for k in range(3, len(words[d])):
@@ -205,20 +206,20 @@ def plain_model(docs, bits):
                     hit = int(others[w] > rivals or h and others[w] == rivals > 0 and wins_tie(w, others))
                     all_ = sum(others.values())
                     surety = 3 if most < all_ else 2 if all_ > 3 else 1 if all_ > 1 else 0
-                    chosen, odds = (9, surety), cm.FOLLOWS[surety] / cm.START[0]
+                    chosen, odds = (size + 1, surety), cm.FOLLOWS[surety] / cm.START[0]
                     mixed = max(-12, min(12, weights[chosen][0] * odds + 0.3 * weights[chosen][4]))
-                    p, final = (1 / (1 + math.exp(-y)) for y in (mixed, scale[9] * mixed))
+                    p, final = (1 / (1 + math.exp(-y)) for y in (mixed, scale[size + 1] * mixed))
                     total += math.log10(final if hit else 1 - final)
                     slopes[chosen][0] += (hit - p) * odds
                     slopes[chosen][4] += (hit - p) * 0.3
                     times[chosen] += 1
-                    turns[9] += (hit - final) * mixed
-                for step in range(9):
-                    later.append((0, known) if not step else (1 << (step - 1) | code >> (9 - step), code >> (8 - step) & 1))
+                    turns[size + 1] += (hit - final) * mixed
+                for step in range(1 + size):
+                    later.append((0, known) if not step else (1 << (step - 1) | code >> (size + 1 - step), code >> (size - step) & 1))
                 if hit:
                     continue
-                for step in range(1 + 8 * known):
-                    node, bit = (0, known) if not step else (1 << (step - 1) | code >> (9 - step), code >> (8 - step) & 1)
+                for step in range(1 + size * known):
+                    node, bit = (0, known) if not step else (1 << (step - 1) | code >> (size + 1 - step), code >> (size - step) & 1)
                     x = []
                     for k in range(3):
                         zero, one = (seen[k][at[k], node, b] - (not h and b == bit) for b in (0, 1))
