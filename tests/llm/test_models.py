@@ -156,7 +156,7 @@ def plain_model(docs, bits):
         return (mix32(head, 0x9E3779B1) >> 32 - size // 2) << size // 2 | mix32(tail, 0x85EBCA6B) >> 32 - size // 2
 
     def wins_tie(w, others):
-        own = {x: mix32(zlib.crc32(x), 0x85EBCA6B) >> 16 for x, c in others.items() if c == others[w]}
+        own = {x: mix32(zlib.crc32(x), 0x85EBCA6B) >> 32 - cm.FOLLOWER for x, c in others.items() if c == others[w]}
         return own[w] == min(own.values())
 
     def contexts(ws):
@@ -178,7 +178,7 @@ def plain_model(docs, bits):
                         seen[k][at[k], 1 << depth | code_of(w) >> (size - depth), code_of(w) >> (size - 1 - depth) & 1] += 1
     after = defaultdict(Counter)
     for d, _, h in docs:
-        for k in range(3, len(words[d])):
+        for k in range(3, len(words[d]), 2):
             after[tuple(words[d][k - 3 : k])][words[d][k]] += not h
     n, once = sum(counts.values()), sum(c == 1 for c in counts.values())
     seen[0][0, 0, 0], seen[0][0, 0, 1] = once, n - once
@@ -198,8 +198,9 @@ def plain_model(docs, bits):
             for place, (w, at) in enumerate(zip(ws[begin : begin + block], places[begin : begin + block]), begin):
                 left = counts[w] - (not h)
                 known, code = int(left > 0), code_of(w)
-                others = Counter(after[tuple(ws[place - 3 : place])]) if place >= 3 else Counter()
-                others[w] -= not h
+                others = Counter(after[tuple(ws[place - 3 : place])]) if place >= 3 and place % 2 else Counter()
+                if others:
+                    others[w] -= not h
                 most, hit = max(others.values(), default=0), 0
                 if most > 0:
                     rivals = max((c for x, c in others.items() if x != w), default=0)
@@ -259,12 +260,12 @@ def test_a_text_that_occurs_twice_is_cheap(spark, sf):
     sole = [t for t, n in Counter(texts).items() if n == 1 and t and len(t) > 600]
     rows = [(k, t, False) for k, t in enumerate([*sole, sole[5], sole[9]])]
     got = {r.doc_id: r.bits_per_byte for r in cm.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
-    assert max(got[k] for k in (5, 9, len(sole), len(sole) + 1)) < 0.6 * sorted(got.values())[len(got) // 2]
+    assert max(got[k] for k in (5, 9, len(sole), len(sole) + 1)) < 0.75 * sorted(got.values())[len(got) // 2]
 
 
 def test_what_follows(spark):
     def pairs(*rows):
-        return np.array([a << 16 | b for a, b, _ in rows], np.uint64), np.array([n for _, _, n in rows])
+        return np.array([a << cm.FOLLOWER | b for a, b, _ in rows], np.uint64), np.array([n for _, _, n in rows])
 
     # (context, follower, times): alone, twice, a tie, a majority, only in held-out texts, and several.
     codes = cm.follow_codes(*pairs((1, 1, 1), (2, 1, 2), (3, 1, 1), (3, 2, 1), (4, 1, 3), (4, 2, 1), (5, 1, 0), (6, 1, 9), (7, 1, 5), (7, 2, 0)))
