@@ -155,10 +155,6 @@ def plain_model(docs, bits):
         head, tail = w[0] << 8 | w[min(1, len(w) - 1)], w[-1] << 8 | w[max(len(w) - 2, 0)]
         return (mix32(head, 0x9E3779B1) >> 32 - size // 2) << size // 2 | mix32(tail, 0x85EBCA6B) >> 32 - size // 2
 
-    def wins_tie(w, others):
-        own = {x: mix32(zlib.crc32(x), 0x85EBCA6B) >> 32 - cm.FOLLOWER for x, c in others.items() if c == others[w]}
-        return own[w] == min(own.values())
-
     def contexts(ws):
         """For each word: the word before and the last short word, hashed."""
         last, short, out = 0, 1, []
@@ -168,6 +164,17 @@ def plain_model(docs, bits):
             short = last if len(w) <= 3 else short
         return out
 
+    def context(before):
+        """The hash of three words, as for a corpus of one bucket."""
+        x = 0
+        for w in reversed(before):
+            x = (x ^ zlib.crc32(w)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+            x ^= x >> 29
+        return x >> 64 - cm.PAIR + cm.FOLLOWER
+
+    def follower(w):
+        return mix32(zlib.crc32(w), 0x85EBCA6B) >> 32 - cm.FOLLOWER
+
     seen, codes = [Counter() for _ in range(3)], Counter()
     for d, _, h in docs:
         for w, at in zip(words[d], contexts(words[d])):
@@ -179,7 +186,7 @@ def plain_model(docs, bits):
     after = defaultdict(Counter)
     for d, _, h in docs:
         for k in range(3, len(words[d]), 2):
-            after[tuple(words[d][k - 3 : k])][words[d][k]] += not h
+            after[context(words[d][k - 3 : k])][follower(words[d][k])] += not h
     n, once = sum(counts.values()), sum(c == 1 for c in counts.values())
     seen[0][0, 0, 0], seen[0][0, 0, 1] = once, n - once
     new = sorted({w for ws in words.values() for w in ws if counts[w] < 2}, key=lambda w: (zlib.crc32(w), w))
@@ -198,13 +205,14 @@ def plain_model(docs, bits):
             for place, (w, at) in enumerate(zip(ws[begin : begin + block], places[begin : begin + block]), begin):
                 left = counts[w] - (not h)
                 known, code = int(left > 0), code_of(w)
-                others = Counter(after[tuple(ws[place - 3 : place])]) if place >= 3 and place % 2 else Counter()
+                others = Counter(after[context(ws[place - 3 : place])]) if place >= 3 and place % 2 else Counter()
+                own_hash = follower(w)
                 if others:
-                    others[w] -= not h
+                    others[own_hash] -= not h
                 most, hit = max(others.values(), default=0), 0
                 if most > 0:
-                    rivals = max((c for x, c in others.items() if x != w), default=0)
-                    hit = int(others[w] > rivals or h and others[w] == rivals > 0 and wins_tie(w, others))
+                    rivals = max((c for x, c in others.items() if x != own_hash), default=0)
+                    hit = int(others[own_hash] > rivals or h and own_hash == min(x for x, c in others.items() if c == most))
                     all_ = sum(others.values())
                     surety = 3 if most < all_ else 2 if all_ > 3 else 1 if all_ > 1 else 0
                     chosen, odds = (size + 1, surety), cm.FOLLOWS[surety] / cm.START[0]
