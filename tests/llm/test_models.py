@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +282,24 @@ def test_what_follows(spark):
     assert [int(c >> 4) for c in codes] == [1, 2, 4, 8, 4, 8, 0, 3, 3, 7]
 
 
+def test_every_word_behind_three_others_is_looked_up(spark):
+    texts = ["a b c d e f g", "x y", "A b c d", "", "q a b c d e f g"]
+    names, index, counts = cm.chunk_tokens(pa.array(texts, pa.large_string()))
+    at, pairs = cm.long_contexts(cm.crcs(names).astype(np.uint32)[index], counts, 5)
+    rows = [words_of(t) for t in texts]
+    first = np.cumsum([0, *map(len, rows)])
+    fours = {int(first[k]) + j: tuple(ws[j - 3 : j + 1]) for k, ws in enumerate(rows) for j in range(3, len(ws))}
+    assert at.tolist() == list(fours)
+    assert len({*zip(fours.values(), pairs.tolist())}) == len({*fours.values()}) == len({*pairs.tolist()})
+
+    # So each word of a passage that training texts hold is told by what follows there, wherever in a text it stands.
+    passage = [f"{chr(97 + k % 26)}{k * 7919 % 1009}{chr(97 + k * k % 26)}" for k in range(203)]
+    rows = [(k, " ".join(passage), False) for k in range(3)] + [(k, f"{k}s " + " ".join(sorted(passage, key=lambda w: zlib.crc32(f"{k}{w}".encode()))), False) for k in range(3, 9)]
+    rows += [(100, " ".join(passage), True), (101, "q " + " ".join(passage), True)]
+    got = {r.doc_id: r.score for r in cm.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    assert min(got[100], got[101]) > -60
+
+
 def test_words_in_another_order_score_otherwise(spark, sf):
     texts = [r.text for r in read(spark, sf, "documents").orderBy("doc_id").limit(60).collect()]
     probe = max(texts, key=lambda t: len(t or "") if len(t or "") < 3000 else 0)
