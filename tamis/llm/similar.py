@@ -2,7 +2,9 @@
 
 At Jaccard 0.8 some 10 of 64 SimHash bits differ, too many for a radius of 4 bits. Here a set of shingles has WIDE sign
 bits, and each mask of some bits out of them, MASK or more as the number of sets grows, is a table: sets that agree under a mask and differ in at
-most RADIUS of their first 128 bits are candidates. Candidates only decide which texts are compared: components of
+most RADIUS of their first 128 bits are candidates. The sets of a pattern are searched as in simhash: sorted by Gray rank,
+every FAN neighbours have a node that factors out the bits they share, and a walk over pairs of nodes drops two whole
+groups as soon as the shared bits differ too often. Candidates only decide which texts are compared: components of
 candidates are searched for all pairs whose sets of shingles have Jaccard similarity of at least the threshold, from
 the shingles themselves. So no other pair is linked, and a pair is lost only where no mask and no chain of candidates
 brings it together; masks_for() gives the masks that find a pair exactly at the threshold with the wanted chance.
@@ -17,6 +19,7 @@ other. Texts with fewer words than a shingle are one shingle. Ids must not be nu
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,12 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from tamis.llm.components import components
-from tamis.llm.shared import chunked, partitions, staged, strings
-from tamis.llm.simhash import LISTED, Classes, shingle_hashes
+from tamis.llm.shared import chunked, partitions, release, staged, strings
+from tamis.llm.simhash import FAN, LISTED, Classes, gray_rank, levels_of, shingle_hashes
 
 WIDE, MASK, RADIUS, FIRST = 256, 12, 33, 21
-#: Sets of one pattern, sets and shingles of one component that a task compares at most; rows of a group that are compared all at once.
-CELL, TEXTS, SHINGLES, SMALL = 4_096, 512, 1_000_000, 128
+#: Sets of one pattern, sets and shingles of one component that a task compares at most; pairs of nodes that are walked at once.
+CELL, TEXTS, SHINGLES, NODES = 4_096, 512, 1_000_000, 1 << 13
 #: Sets in a pattern that the number of bits of a mask aims at.
 PATTERN = 2_048
 #: Rows of 40 bytes that are broadcast at most to fetch the texts to compare; beyond it texts are shuffled.
@@ -76,31 +79,82 @@ def masks_for(jaccard: float, recall: float, size: int = MASK) -> int:
     return next(n for n in range(1, 10_000) if (chance * (1 - (1 - agree) ** n)).sum() >= recall)
 
 
-def linked_prints(group: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Class label (a row) of each row of fingerprints (n, 2 words): rows of one group link within RADIUS. Rows of a group are consecutive."""
-    classes, first, second = Classes(len(x)), np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1])
+def gray_order(group: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of the rows of x (n, words) in order of group and of their place in the Gray sequence of all bits."""
+    ranks, odd = [], np.zeros(len(x), bool)
+    for word in x.T:
+        # A word behind an odd number of ones runs through its own sequence backwards.
+        ranks.append(gray_rank(word) ^ np.where(odd, ~np.uint64(0), np.uint64(0)))
+        odd = (ranks[-1] & np.uint64(1)).astype(bool)
+    return np.lexsort((*ranks[::-1], group))
+
+
+def children(first: np.ndarray, last: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of a child of the left and one of the right node of pairs, in this order; first and last: of each node's children."""
+    left, right = pairs.T
+    n_right = last[right] - first[right]
+    n = (last[left] - first[left]) * n_right
+    owner = np.repeat(np.arange(len(pairs)), n)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    i, j = first[left][owner] + within // n_right[owner], first[right][owner] + within % n_right[owner]
+    return i[i <= j], j[i <= j]
+
+
+def linked_prints(group: np.ndarray, x: np.ndarray, seen: Counter | None = None) -> np.ndarray:
+    """Class label (a row) of each row of fingerprints (n, 2 words): rows of one group link within RADIUS. Rows of a group are consecutive.
+
+    Each group is a tree over its fingerprints in Gray order, as in simhash: a walk over pairs of nodes counts the
+    differing bits that nodes share, and drops both whole as soon as these exceed the radius. seen: counts pairs of nodes
+    met and dropped at each level.
+    """
+    out = np.arange(len(x))
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.append(starts, len(group)))
-    # Small groups all at once, each row with the one `step` behind it; large ones block by block.
-    after = np.repeat(starts + sizes, sizes) - np.arange(len(x))
-    at, step = np.flatnonzero((after > 1) & (np.repeat(sizes, sizes) <= SMALL)), 1
-    while len(at):
-        d = np.bitwise_count(first[at] ^ first[at + step])
-        some = at[d <= FIRST]
-        near = some[np.bitwise_count(first[some] ^ first[some + step]) + np.bitwise_count(second[some] ^ second[some + step]) <= RADIUS]
-        if len(near):
-            classes.join(near, near + step)
-        step += 1
-        at = at[after[at] > step]
-    for begin, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        for s in range(begin, begin + n, 256):
-            e = min(s + 256, begin + n)
-            d = np.bitwise_count(first[s:e, None] ^ first[None, s : begin + n])
-            i, j = np.nonzero(d <= FIRST)
-            near = (i < j) & (d[i, j] + np.bitwise_count(second[s + i] ^ second[s + j]) <= RADIUS)
+    rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    if not len(rows):
+        return out
+    rows = rows[gray_order(group[rows], x[rows])]
+    group, x = group[rows], x[rows]
+    levels, classes = levels_of(group, x), Classes(len(x))
+    words, heads, tails = list(map(np.ascontiguousarray, x.T)), levels[1][2], levels[1][3]
+    leaves = words[0][np.minimum(heads[:, None] + np.arange(FAN), len(x) - 1)]
+    roots = np.arange(len(levels[-1][0]))
+    stack = [(len(levels) - 1, np.stack([roots, roots], 1))]
+    while stack:
+        depth, pairs = stack.pop()
+        if len(pairs) > NODES:
+            stack += [(depth, pairs[NODES:]), (depth, pairs[:NODES])]
+            continue
+        if depth > 1:
+            i, j = children(*levels[depth][2:], pairs)
+            pattern, mask, _, _ = levels[depth - 1]
+            differ = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j])
+            near = (differ[:, 0] <= FIRST) & (differ.sum(1) <= RADIUS)
+            if seen is not None:
+                seen.update({("met", depth - 1): len(i), ("dropped", depth - 1): int((~near).sum())})
             if near.any():
-                classes.join(s + i[near], s + j[near])
-    return classes.label
+                stack.append((depth - 1, np.stack([i[near], j[near]], 1)))
+            continue
+        # Groups that are one class already have nothing to add.
+        low, high = np.minimum.reduceat(classes.label, heads), np.maximum.reduceat(classes.label, heads)
+        left, right = pairs[~((low[pairs] == high[pairs]).all(1) & (low[pairs[:, 0]] == low[pairs[:, 1]]))].T
+        if not len(left):
+            continue
+        at = np.flatnonzero(np.bitwise_count(leaves[left][:, :, None] ^ leaves[right][:, None, :]) <= FIRST)
+        at, i, j = at // FAN**2, at // FAN % FAN, at % FAN
+        left_, right_ = left[at], right[at]
+        i, j = heads[left_] + i, heads[right_] + j
+        real = (i < j) & (i < tails[left_]) & (j < tails[right_])
+        i, j = i[real], j[real]
+        near = sum(np.bitwise_count(w[i] ^ w[j]) for w in words) <= RADIUS
+        if seen is not None:
+            seen.update({("met", 0): int(((tails - heads)[left] * (tails - heads)[right]).sum())})
+        if near.any():
+            classes.join(i[near], j[near])
+    least = np.full(len(rows), len(out))
+    np.minimum.at(least, classes.label, rows)
+    out[rows] = least[classes.label]
+    return out
 
 
 def linked_sets(sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -221,6 +275,8 @@ def candidates(sets: DataFrame, masks: int, size: int = MASK) -> DataFrame:
                 yield got
         if held and (got := close(np.concatenate(held))) is not None:
             yield got
+        del held
+        release()
 
     return in_cells(rows, "key", large, "node", ["node", "x", "y"]).mapInArrow(near, "a long, b long").distinct()
 
@@ -234,6 +290,8 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         for table in chunked(batches, 4 << 20):
             sets = [shingle_set(t.encode("utf-8", "surrogatepass"), shingle) for t in strings(table["__text"]).to_pylist()]
             yield from pa.table({"id": table["__id"], "hash": table["__hash"], "node": np.array([node_of(x) for x in sets], np.int64), "size": np.array([len(x) for x in sets], np.int64), "wide": pa.array([wide_fingerprint(x) for x in sets], pa.binary())}).to_batches()
+            del sets
+            release()
 
     kind = docs.schema["__id"].dataType
     numbered = docs.select("*", F.xxhash64("__text").alias("__hash"))
@@ -264,6 +322,7 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                 label = ties(label, [np.array([k for k, x in enumerate(nodes) if side[x] == s]) for s in set(side.values())], [sets[k] for k in nodes], least)
             if (got := links(np.array(nodes), label)) is not None:
                 yield got
+        release()
 
     linked = components(in_cells(texts, "group", large, "node", ["node", "__text"], keep_slice=True).mapInArrow(compare, "a long, b long"), "a", "b")
     classes = sets.join(linked.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("component", "node").alias("class"), "least")

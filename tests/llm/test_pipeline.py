@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -109,6 +110,36 @@ def test_repeated_ids_are_no_duplicates(spark, no_docs):
     assert either == 1 and kept == Counter([(1, long[0]), (2, long[2]), (None, "only this"), (3, None)])
 
 
+def test_sets_of_a_pattern_are_searched_through_trees():
+    from tamis.llm import similar
+
+    # Groups of 1, 2, 9, 64 and 700 fingerprints in families of near copies, each row with its place as its number.
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 9, 64, 700]
+    group, n = np.repeat(np.arange(5), sizes), sum(sizes)
+    x = rng.integers(0, 2**64, (n // 16 + 1, 2), np.uint64)[rng.integers(0, n // 16 + 1, n)]
+    for step in range(9):  # bits that rows of a family differ in: few in the largest group
+        x[np.arange(n), rng.integers(0, 2, n)] ^= np.where((group < 4) | (step < 1), np.uint64(1), np.uint64(0)) << rng.integers(0, 64, n).astype(np.uint64)
+    order = similar.gray_order(group, x)
+
+    def rank(k):
+        value, out = int(x[k, 0]) << 64 | int(x[k, 1]), 0
+        while value:
+            out, value = out ^ value, value >> 1
+        return out
+
+    assert order.tolist() == sorted(range(n), key=lambda k: (group[k], rank(k), k))
+    apart = np.bitwise_count(x[:, None] ^ x[None])
+    i, j = np.nonzero((apart[:, :, 0] <= similar.FIRST) & (apart.sum(2) <= similar.RADIUS) & (group[:, None] == group[None]))
+    want, seen = union_find(range(n), list(zip(i.tolist(), j.tolist()))), Counter()
+    label, least = similar.linked_prints(group, x, seen).tolist(), {}
+    for k in range(n):
+        least.setdefault(want[k], k)
+    assert label == [least[want[k]] for k in range(n)] and 20 < len(least) < n // 2
+    # Whole groups go before their members meet.
+    assert seen["dropped", 1] > 0 and seen["met", 0] < 0.4 * sum(k * k for k in sizes)
+
+
 def test_slices_of_a_large_component_tell_few_links(spark, monkeypatch):
     from tamis.llm import similar
 
