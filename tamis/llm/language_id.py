@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.shared import byte_table, chunked, crc_mod, kept, read, split_words, strings, sums_by_text, translated
+from tamis.llm.shared import byte_table, chunked, crc_mod, kept, read, release, split_words, strings, sums_by_text, translated
 
 #: Labelled texts that the n-gram model of one language is fitted on, about, and the languages that are learnt at most.
 FIT_ROWS, MOST_LANGS = 10_000, 1_000
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
             parts = [[min(1.0, float(s)) for s in r if s > 0] if f else [] for r, f in zip(ranked, found)]
             out = {c: table[c] for c in keep} | dict(zip(made, (pa.array(pred, pa.string()), np.where(found, np.clip(ranked[:, 0], 0, 1), 0.0), pa.array(names, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64())), counts)))
             yield from pa.table(out).to_batches()
-            pa.default_memory_pool().release_unused()
+            release()
 
     return docs.mapInArrow(run, _with(fields, ", ".join(f"{c} {kind}" for c, kind in zip(made, ("string", "double", "array<string>", "array<double>", "long")))))
 

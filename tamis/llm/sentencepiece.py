@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.shared import Runs, chunked, kept, read, strings
+from tamis.llm.shared import Runs, chunked, kept, read, release, strings
 
 MARK = "▁"
 SLOTS = 21
@@ -366,14 +366,15 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", model: str = MO
 
     def run(batches):
         v = vocabulary(sent.value)
-        for table in chunked(batches, 4 << 20):
+        for table in chunked(batches, 2 << 20):
             texts = strings(table["__text"]).to_pylist()
             ids, sizes = encode_batch(v, texts)
             ends = np.cumsum(sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
             equal = [decode(v, ids[e - n : e].tolist()) == t for e, n, t in zip(ends.tolist(), sizes.tolist(), texts)]
             yield from pa.table({c: table[c] for c in keep} | {"ids": lists, "n_pieces": sizes, "decoded_equal": equal}).to_batches(max_chunksize=512)
-            pa.default_memory_pool().release_unused()
+            del table, texts, ids, sizes, ends, lists, equal
+            release()
 
     return docs.mapInArrow(run, schema)
 

@@ -300,3 +300,23 @@ def test_clashing_columns_give_way(spark, odd_docs):
     model = language_id.fit(odd_docs)
     for df in (sp.encode(named, keep), licenses.scan(named, keep), fps.fingerprints(named, keep), simhash.near_duplicates(named, keep=keep), language_id.identify(named, model, keep), language_id.identify(named, model, keep, prefix="__")):
         assert len(set(df.columns)) == len(df.columns) and df.count() == n and df.where("doc_id = 3").count() == 1
+
+
+def test_workers_give_freed_memory_back():
+    import ctypes
+    import os
+
+    from tamis.llm.shared import release
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    if not os.path.exists("/proc/self/statm") or not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        return
+    # Blocks too large for Python's own pools, freed but for the last, which keeps the heap from shrinking by itself.
+    blocks = [bytes(2_000) for _ in range(60_000)]
+    del blocks[:-1]
+    before = held()
+    release()
+    assert held() < before - 60
