@@ -33,8 +33,8 @@ from tamis.llm.shared import chunked, partitions, release, staged, strings
 from tamis.llm.simhash import FAN, LISTED, Classes, gray_rank, levels_of, shingle_hashes
 
 WIDE, MASK, RADIUS, FIRST = 256, 12, 33, 21
-#: Sets of one pattern, sets and shingles of one component that a task compares at most; pairs of nodes that are walked at once.
-CELL, TEXTS, SHINGLES, NODES = 4_096, 512, 1_000_000, 1 << 13
+#: Sets of one pattern, sets and shingles of one component that a task compares at most; pairs of nodes that are few enough to be walked at once.
+CELL, TEXTS, SHINGLES, SMALL = 4_096, 512, 1_000_000, 1 << 13
 #: Sets in a pattern that the number of bits of a mask aims at.
 PATTERN = 2_048
 #: Rows of 40 bytes that are broadcast at most to fetch the texts to compare; beyond it texts are shuffled.
@@ -122,8 +122,8 @@ def linked_prints(group: np.ndarray, x: np.ndarray, seen: Counter | None = None)
     stack = [(len(levels) - 1, np.stack([roots, roots], 1))]
     while stack:
         depth, pairs = stack.pop()
-        if len(pairs) > NODES:
-            stack += [(depth, pairs[NODES:]), (depth, pairs[:NODES])]
+        if len(pairs) > SMALL:
+            stack += [(depth, pairs[SMALL:]), (depth, pairs[:SMALL])]
             continue
         if depth > 1:
             i, j = children(*levels[depth][2:], pairs)
