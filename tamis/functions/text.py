@@ -41,7 +41,7 @@ def whitespace_lower_text(text: str) -> list[str]:
 def number_text(x: Column) -> Column:
     """A float or double as JSON writes it: the shortest digits, no trailing zeros, an exponent below 1e-6 or from 1e21.
 
-    NaN and infinities have no text (null).
+    NaN and infinities have no text (null); both zeros are 0.
     """
     d, digits = x.cast("double"), x.cast("string")
     # The JVM may write a digit more than it takes to tell a double from all others.
@@ -57,8 +57,8 @@ def number_text(x: Column) -> Column:
     slow = F.when(F.isnan(d) | (size == float("inf")), F.lit(None).cast("string")).when(sparse, power).otherwise(plain)
     # Most numbers are written out in at most 16 digits already.
     text = x.cast("string")
-    common = (((size >= 1e-3) & (size < 1e7)) | (size == 0)) & (F.length(text) <= 17)
-    return F.when(common, F.when(F.endswith(text, F.lit(".0")), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)).otherwise(slow)
+    common = (size >= 1e-3) & (size < 1e7) & (F.length(text) <= 17)
+    return F.when(size == 0, F.lit("0")).when(common, F.when(F.endswith(text, F.lit(".0")), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)).otherwise(slow)
 
 
 def timestamp_text(x: Column, zoned: bool) -> Column:
