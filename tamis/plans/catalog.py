@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tamis.functions.numeric import range_columns, rounded_column
 from tamis.functions.rows import TypedRows
-from tamis.functions.text import leaf_text, whitespace_lower
+from tamis.functions.text import leaf_text
 from tamis.operators.engine import Config, Engine
 from tamis.operators.search import partition_blocks, search, search_json
+from tamis.operators.tokens import token_counts
 from tamis.plans.query import (
     Field, FieldRegex, FieldToken, MinMax, Node, Partition, Query, Test, Token, all_of, any_of, between, eq, gt, gte, isin, lt, lte, ne, notbetween, notin, query,
 )
@@ -154,7 +155,7 @@ def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("number_forms", _numbers, f"""SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS low, CAST(ceil(c_acctbal) AS BIGINT) AS high,
 CAST(sign(c_acctbal) * floor(abs(c_acctbal) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS nearest, {sql_double('c_acctbal')} AS number_text FROM customer""")
-register("tokens", lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.explode(whitespace_lower(F.col("text"))).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs")),
+register("tokens", lambda spark, sf_dir: token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"),
          f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents) GROUP BY token")
 
 
