@@ -125,6 +125,8 @@ def json_value(x):
 class Engine:
     #: Rows that the average row size is taken from, and blocks that a query lists on the driver at most.
     SIZED_ROWS, LISTED_BLOCKS = 1_000, 10_000
+    #: Blocks' worth of rows in a piece of a large partition, and partitions of a batch that are cut at most (the largest).
+    PIECE_BLOCKS, CUT_PARTITIONS = 4, 10_000
     #: Bytes of metadata that a block has at least.
     BLOCK_METADATA = 400
 
@@ -147,7 +149,8 @@ class Engine:
         self._running()
         rows = TypedRows(df.schema, self.config.null_fields)
         text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": str(self.config.null_fields == "drop").lower()}) if df.columns else F.lit("{}")
-        return self._ingest(df, text, rows.paths(), rows.leaves(), range_map(column_ranges(df, self.config.minmax)), batch)
+        ends = column_ranges(df, self.config.minmax)
+        return self._ingest(df, text, rows.paths(), rows.leaves(), range_map(ends), batch, next((low for low, _ in ends.values()), None))
 
     def ingest_json(self, df: DataFrame, column: str, batch: Batch | None = None) -> str | None:
         """Stores JSON objects; any text that isn't one rejects the whole batch. Other columns only serve the partition."""
@@ -160,21 +163,23 @@ class Engine:
         text = F.coalesce(refused, F.col("__walked.json"))
         return self._ingest(walked, text, F.col("__walked.paths"), F.col("__walked.leaves"), json_ranges(list(self.config.minmax))(F.col(column)), batch)
 
-    def _ingest(self, df: DataFrame, text: Column, paths: Column, leaves: Column, ranges: Column, batch: Batch | None) -> str | None:
+    def _ingest(self, df: DataFrame, text: Column, paths: Column, leaves: Column, ranges: Column, batch: Batch | None, along: Column | None = None) -> str | None:
+        """along: a number by which large partitions are cut into pieces."""
         if batch is not None and self.store.state().has(batch):
             return None
         partition = F.lit("") if self.config.partition is None else F.coalesce(self.config.partition(df).cast("string"), F.lit(""))
         segment = self.store.new_segment()
         try:
-            size = df.limit(self.SIZED_ROWS).agg(F.avg(F.octet_length(text).cast("long") + 4)).first()[0]
+            size, sized = df.limit(self.SIZED_ROWS).agg(F.avg(F.octet_length(text).cast("long") + 4), F.count("*")).first()
             if size is None:
                 if batch is not None:
                     self.store.commit(batch=batch)
                 return None
             per_block = max(1, min(self.config.max_block_rows, int(self.config.max_block_bytes / size)))
-            # Adaptive execution deals partitions out by size, splits the large ones and gathers the small ones. Rows move
-            # as they came in; what is several times their size is made where they end up.
-            dealt = df.withColumn("__partition", partition).hint("rebalance", "__partition").sortWithinPartitions("__partition")
+            # Adaptive execution deals pieces out by size and gathers the small ones. Rows move as they came in; what is
+            # several times their size is made where they end up.
+            pieces = df.withColumns({"__partition": partition, "__piece": F.lit(0).cast("long")}) if sized < self.SIZED_ROWS else self._in_pieces(df, partition, per_block, along)
+            dealt = pieces.hint("rebalance", "__partition", "__piece").sortWithinPartitions("__partition", "__piece")
             place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
             rows = dealt.select(F.col("__partition").alias("partition_id"), F.floor(place / per_block).alias("block"), text.alias("row_json"), paths.alias("paths"), leaves.alias("leaves"), ranges.alias("ranges"))
             return self._publish(segment, rows.withColumn("bytes", F.octet_length("row_json").cast("long") + 4), list(self.config.minmax), batch=batch)
@@ -184,6 +189,26 @@ class Engine:
                 raise BatchRejected(str(e).split("REFUSED ")[1].split("\n")[0][:300]) from None
             raise
 
+    def _in_pieces(self, df: DataFrame, partition: Column, per_block: int, along: Column | None) -> DataFrame:
+        """df with __partition and __piece: a large partition is cut, so that a few of them, or one, keep all cores busy.
+
+        Adaptive execution alone splits by bytes that are shuffled, which say little of the work behind the shuffle. Pieces
+        are ranges of `along`, so blocks keep narrow ranges, or else shares by hash; both depend on nothing but the row.
+        """
+        named, most = df.withColumns({"__partition": partition, "__along": F.lit(None).cast("double") if along is None else along.cast("double")}), self.PIECE_BLOCKS * per_block
+        # Reads what the partition and `along` come from.
+        sizes = named.groupBy("__partition").agg(F.count("*").alias("n"), F.min("__along").alias("low"), F.max("__along").alias("high")).where(F.col("n") > most)
+        large = [(r[0], -(-r.n // most), r.low, r.high) for r in sizes.orderBy(F.desc("n")).limit(self.CUT_PARTITIONS).collect()]
+        if not large:
+            return df.withColumns({"__partition": partition, "__piece": F.lit(0).cast("long")})
+        listed = F.from_json(F.lit(json.dumps([dict(zip("pklh", x)) for x in large])), "array<struct<p: string, k: bigint, l: double, h: double>>")
+        plan = F.broadcast(self.spark.range(0, 1, 1, 1).select(F.inline(listed)))  # CUT_PARTITIONS rows at most
+        plain = [F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.VariantType)]
+        share = F.pmod(F.xxhash64(*plain), F.col("k")) if plain else F.lit(0).cast("long")
+        part = F.floor((F.col("__along") - F.col("l")) / (F.col("h") - F.col("l")) * F.col("k"))
+        piece = F.when(F.col("k").isNull(), 0).when(F.col("__along").isNotNull() & (F.col("h") > F.col("l")), F.greatest(F.lit(0), F.least(part, F.col("k") - 1))).otherwise(share)
+        return named.join(plan, F.col("__partition") == F.col("p"), "left").withColumn("__piece", piece.cast("long")).drop("__along", *"pklh")
+
     def _publish(self, segment: str, rows: DataFrame, ranges: list[str], batch: Batch | None = None, remove: frozenset = frozenset(), emptied: tuple[str, ...] = ()) -> str:
         """Writes rows and their metadata, and commits. rows are in order within each task, a file a task."""
         config, store = self.config, self.store
